@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
+from .decontamination import decontaminate, decontaminate_sql
 from .linededup import drop_boilerplate, drop_boilerplate_sql
 from .mixing import mix, mix_sql
 from .revisits import resolve_pages, resolve_pages_sql
+from .sstable import token_shards
 from .winnowing import winnow, winnow_sql
 
 
@@ -17,6 +19,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_winnowing": lambda spark, d: winnow(read(spark, d, "documents")),
         "op6_source_mixing": lambda spark, d: mix(read(spark, d, "documents")),
+        "op7_decontamination": lambda spark, d: decontaminate(read(spark, d, "documents"), read(spark, d, "benchmark")),
+        "op8_token_sstable": lambda spark, d: token_shards(read(spark, d, "documents")),
         "op9_revisit_resolution": lambda spark, d: resolve_pages(read(spark, d, "pages")),
         "op10_line_dedup": lambda spark, d: drop_boilerplate(read(spark, d, "documents")),
     }
@@ -26,6 +30,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_winnowing": winnow_sql(),
         "op6_source_mixing": mix_sql(),
+        "op7_decontamination": decontaminate_sql(),
         "op9_revisit_resolution": resolve_pages_sql(),
         "op10_line_dedup": drop_boilerplate_sql(),
     }
