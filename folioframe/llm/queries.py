@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import langid, quality
 from .common import read
 from .decontamination import decontaminate, decontaminate_sql
 from .linededup import drop_boilerplate, drop_boilerplate_sql
@@ -15,9 +16,16 @@ from .sstable import token_shards
 from .winnowing import winnow, winnow_sql
 
 
+def _quality(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents")
+    return quality.classify(docs, quality.fit(docs, read(spark, d, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_winnowing": lambda spark, d: winnow(read(spark, d, "documents")),
+        "op3_quality_classifier": _quality,
+        "op4_language_id": lambda spark, d: langid.identify_documents(read(spark, d, "documents")),
         "op6_source_mixing": lambda spark, d: mix(read(spark, d, "documents")),
         "op7_decontamination": lambda spark, d: decontaminate(read(spark, d, "documents"), read(spark, d, "benchmark")),
         "op8_token_sstable": lambda spark, d: token_shards(read(spark, d, "documents")),
