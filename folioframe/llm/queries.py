@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, quality
+from . import langid, quality, simhash
 from .common import read
 from .decontamination import decontaminate, decontaminate_sql
 from .linededup import drop_boilerplate, drop_boilerplate_sql
@@ -26,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_winnowing": lambda spark, d: winnow(read(spark, d, "documents")),
         "op3_quality_classifier": _quality,
         "op4_language_id": lambda spark, d: langid.identify_documents(read(spark, d, "documents")),
+        "op5_simhash_neardup": lambda spark, d: simhash.group_documents(read(spark, d, "documents")),
         "op6_source_mixing": lambda spark, d: mix(read(spark, d, "documents")),
         "op7_decontamination": lambda spark, d: decontaminate(read(spark, d, "documents"), read(spark, d, "benchmark")),
         "op8_token_sstable": lambda spark, d: token_shards(read(spark, d, "documents")),
