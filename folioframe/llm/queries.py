@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, quality, simhash
+from . import langid, licenses, quality, simhash
 from .common import read
 from .decontamination import decontaminate, decontaminate_sql
 from .linededup import drop_boilerplate, drop_boilerplate_sql
@@ -23,6 +23,7 @@ def _quality(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_license_scan": lambda spark, d: licenses.scan_documents(read(spark, d, "documents")),
         "op2_winnowing": lambda spark, d: winnow(read(spark, d, "documents")),
         "op3_quality_classifier": _quality,
         "op4_language_id": lambda spark, d: langid.identify_documents(read(spark, d, "documents")),
