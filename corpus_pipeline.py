@@ -1,15 +1,57 @@
-"""The corpus pipeline, from raw documents to token shards."""
+"""The corpus pipeline, from raw documents to token shards.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
+last return the columns of ``documents``.  ``run`` applies them in order.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from folioframe.llm import decontamination, mixing, quality, simhash, sstable
+from folioframe.llm.common import materialise, read
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, trained on the labelled ones, doesn't reject."""
+    return quality.good_documents(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
+
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of exact and near copies."""
+    return simhash.one_of_each(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of the benchmark; those that are mostly benchmark go."""
+    return decontamination.decontaminate_documents(docs, read(spark, sf_dir, "benchmark"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in the mixture, a row for each time that one is taken; all sources weigh the same."""
+    return mixing.mix_documents(docs)
+
+
+def output_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Shards of token ids, sorted by document."""
+    return sstable.token_shards(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("SimHash near-dedup", dedup_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("mixing to target weights", mixing_stage),
+    ("token shards", output_stage),
+]
+
+#: The classifier, the forest and the shards can't be said in SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """The last stage's rows; what a stage keeps is written to the shared folder before the next reads it."""
+    docs = read(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
