@@ -162,8 +162,11 @@ def _run(docs: DataFrame, bench: DataFrame, n: int, most: int) -> tuple[DataFram
         return docs, False, find
     hits = _hits_by_shuffle(docs, bench, n)
     names = docs.columns
+    held = "hits_of_text"
+    while held in (c.lower() for c in names):
+        held += "_"
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), text_key().alias("key"))
-    return keyed.join(hits, F.col("key") == F.col("h_key"), "left").select("row.*", F.col("h_hits").alias("_hits_of_text")), True, None
+    return keyed.join(hits, F.col("key") == F.col("h_key"), "left").select("row.*", F.col("h_hits").alias(held)), True, None
 
 
 def _batch_finder(find, batch: pa.RecordBatch):
