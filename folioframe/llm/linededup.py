@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 
 def boilerplate_lines(docs: DataFrame, host: str = "source", ratio: float = 0.05, min_pages: int = 5) -> DataFrame:
     """Lines above the ratio: ``host, line_key, pages_with_line, host_pages``.
@@ -44,6 +46,7 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", ratio: float = 0.05,
     a hot host is split by adaptive execution.
     """
     lists = boilerplate_lines(docs, host, ratio, min_pages).groupBy("host").agg(F.collect_set("line_key").alias("drop_keys")).select(F.col("host").alias("drop_host"), "drop_keys")
+    lists = materialise(lists)  # with its size known, the planner needs no shuffle of the pages where it is small
     pages = docs.select("doc_id", F.col(host).alias("host"), F.col("text").cast("string").alias("text"))
     lines = F.split("text", "\n", -1)
     joined = pages.join(lists, F.col("host").eqNullSafe(F.col("drop_host")), "left")
