@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 WORD_RE = r"[0-9A-Za-z\x{00C0}-\x{1FFF}\x{2070}-\x{2FFF}\x{3040}-\x{10FFFF}]+"
 
 #: Bytes of text that one vectorised step works on; a longer text is one step.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 
 _ASCII_WORD = np.zeros(256, dtype=bool)
 _ASCII_WORD[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True

@@ -20,7 +20,7 @@ from .common import BASE, BASE_INVERSE, flat, ragged, splitmix
 _LETTER, _NUMBER, _SPACE = 1, 2, 3
 _SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: Pieces that a worker remembers; when full it starts anew.
-_MOST_PIECES = 400_000
+_MOST_PIECES = 150_000
 
 
 def default_vocabulary() -> str:
