@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import catalog_ids, catalog_layout, catalog_text
+from . import catalog_ids, catalog_layout, catalog_locate, catalog_text
 
-_PARTS = (catalog_layout, catalog_ids, catalog_text)
+_PARTS = (catalog_layout, catalog_ids, catalog_text, catalog_locate)
 
 
 def queries() -> dict:
