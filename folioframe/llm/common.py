@@ -182,9 +182,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends, and a lost executor loses nothing."""
+    """Write ``df`` to the shared folder and read it back: lineage ends, and a lost executor loses nothing.
+
+    An application's tables are in a folder of its own, which may be deleted when it has ended.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/folioframe/{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/folioframe/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -34,6 +34,8 @@ MAGIC = b"FFSSTAB1"
 _FOOTER = struct.Struct("<QQQQQQI8s")  # filter at, its bytes; index at, its bytes; entries, tokens; crc of what is before; magic
 BLOCK_BYTES = 16 << 10
 SHARD_BYTES = 8 << 20
+#: Ranges of identifiers that are sorted apart, at most; a range has as many shards as its bytes need.
+RANGES = 10_000
 BITS_PER_KEY, PROBES = 10, 7
 
 
@@ -156,12 +158,13 @@ class Shard:
 
 
 def _bounds(docs: DataFrame, shard_bytes: int) -> list[int]:
-    """Upper ends of the ranges of identifiers, so that a range has about a shard's bytes.
+    """Upper ends of the ranges of identifiers, so that a range has about a shard's bytes, or more
+    where that would be more than ``RANGES``.
 
     One pass over identifiers and lengths; a byte of text is taken for 0.7 bytes of ids.
     """
     row = docs.agg(F.sum(F.octet_length(F.col("text").cast("string"))), F.count("doc_id")).first()
-    n = int((row[0] or 0) * 0.7 // shard_bytes)
+    n = min(RANGES, int((row[0] or 0) * 0.7 // shard_bytes))
     if n < 1 or not row[1]:
         return []
     shares = [i / (n + 1) for i in range(1, n + 1)]
