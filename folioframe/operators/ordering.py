@@ -8,12 +8,19 @@ from pyspark.sql import functions as F
 from ..functions.ids import natural_key, section_format, sheet_prefix
 
 ASSEMBLY = ["A", "C", "E", "M", "P", "S"]
+#: Characters of the natural key that ids are grouped by before they are ranked: letters, and the number behind them up to its last two digits.
+PART = 13
 
 
 def natural_rank(ids: DataFrame, column: str = "id") -> DataFrame:
     """Each distinct id's place in natural order, from 0."""
-    distinct = ids.select(column).where(F.col(column).isNotNull()).distinct()
-    return distinct.withColumn("place", F.row_number().over(Window.orderBy(natural_key(F.col(column)), column)) - 1)
+    keyed = ids.select(column).where(F.col(column).isNotNull()).distinct().withColumn("key", natural_key(F.col(column)))
+    # ids are ranked below each beginning of the key, so that no single task sorts all of them
+    keyed = keyed.withColumn("part", F.substring("key", 1, PART))
+    sizes = keyed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("part").orderBy("key", column))
+    return keyed.withColumn("inside", inside).join(before, "part").select(column, (F.col("before") + F.col("inside") - 1).alias("place"))
 
 
 def drawings_order(rows: DataFrame) -> DataFrame:
