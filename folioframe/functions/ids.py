@@ -11,7 +11,7 @@ SECTION_PATTERN = r"[0-9]{2}[ .-]+[0-9]{2}[ .-]+[0-9]{2}"
 
 def normalize_sheet_id(raw: Column) -> Column:
     """Upper case without any white space."""
-    return F.regexp_replace(F.upper(raw), F.lit(r"[ \t\r\n\f]+"), F.lit(""))
+    return F.translate(F.upper(raw), " \t\r\n\f", "")
 
 
 def normalize_section_id(raw: Column) -> Column:

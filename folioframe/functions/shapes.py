@@ -10,7 +10,8 @@ DATE = "[0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{2,4}"
 
 
 def flags(text: Column) -> dict[str, Column]:
-    return {name: text.rlike(pattern) for name, pattern in FLAGS.items()}
+    plain = {"has_dash": "-", "has_slash": "/", "has_dot": "."}
+    return {name: F.contains(text, F.lit(plain[name])) if name in plain else text.rlike(pattern) for name, pattern in FLAGS.items()}
 
 
 def length_bucket(text: Column) -> Column:
@@ -34,10 +35,13 @@ def token_shape(text: Column) -> Column:
     )
 
 
-def placeholder(text: Column) -> Column:
-    """A stable name of a text's class, shape, length bucket and flags."""
-    bits = F.concat(*[F.when(f, "1").otherwise("0") for f in flags(text).values()])
-    return F.concat(F.lit("PLACEHOLDER_"), F.substring(F.sha2(F.concat_ws("|", token_class(text), token_shape(text), length_bucket(text), bits), 256), 1, 12))
+def flag_bits(text: Column) -> Column:
+    return F.concat(*[F.when(f, "1").otherwise("0") for f in flags(text).values()])
+
+
+def placeholder(*features: Column) -> Column:
+    """A stable name of a text's class, shape, length bucket and flag bits."""
+    return F.concat(F.lit("PLACEHOLDER_"), F.substring(F.sha2(F.concat_ws("|", *features), 256), 1, 12))
 
 
 def hmac_sha256(key: str, text: Column) -> Column:

@@ -70,34 +70,36 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when((F.length(a) == 0) | (F.length(b) == 0), 0.0).otherwise(1 - F.levenshtein(a, b) / most.cast("double"))
 
 
-def _deletions(ids: DataFrame, threshold: float) -> DataFrame:
-    """Each id with all strings that come of deleting as many characters as a similar id may differ by."""
-    share = (1 - threshold) / threshold
-    most = F.floor(F.length("id") * share + 1e-9)
-    out = ids.select("id", most.alias("left"), F.array("id").alias("forms"))
-    longest = 3
-    for step in range(longest):
-        grown = F.array_distinct(F.concat("forms", F.flatten(F.transform("forms", lambda s: F.transform(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), lambda i: F.concat(F.substr(s, F.lit(1), i - 1), F.substr(s, i + 1)))))))
-        out = out.withColumn("forms", F.when(F.col("left") > step, grown).otherwise(F.col("forms")))
-    return out.select("id", F.explode("forms").alias("form"))
-
-
 def near_matches(wanted: DataFrame, inventory: DataFrame, threshold: float = 0.75, best: int = 3) -> DataFrame:
     """The most similar inventory ids of each wanted id: ``id, candidate, similarity, place``.
 
-    Two strings within d edits share a string that comes of deleting at most d
-    characters of each, so candidates come from an equi-join instead of
-    comparing all pairs.  Ids that may differ by more than three edits (12
-    characters and more at 0.75) are compared with all of similar length.
+    Candidates come from an equi-join instead of comparing all pairs, and none
+    is missed: two strings within e edits share one of e + 1 pieces of the
+    second, unchanged and moved by at most e places.  Inventory ids are cut into
+    that many pieces; wanted ids give their substrings of the same places.
     """
     share = (1 - threshold) / threshold
-    long_ = F.floor(F.length("id") * share + 1e-9) > 3
-    left, right = wanted.select("id").distinct(), inventory.select("id").distinct()
-    short = _deletions(left.where(~long_), threshold).join(_deletions(right.where(~long_), threshold).withColumnRenamed("id", "candidate"), "form").select("id", "candidate").distinct()
-    a, b = left.select("id", long_.alias("la")), right.select(F.col("id").alias("candidate"), long_.alias("lb"))
-    bound = F.abs(F.length("id") - F.length("candidate")) <= (1 - threshold) * F.greatest(F.length("id"), F.length("candidate"))
-    rest = a.join(b, (F.col("la") | F.col("lb")) & bound).select("id", "candidate")
-    scored = short.unionByName(rest).withColumn("similarity", similarity(F.col("id"), F.col("candidate"))).where(F.col("similarity") >= threshold)
+    most = lambda n: F.floor(n * share + 1e-9).cast("int")
+
+    def piece(n, k, i):
+        """First place, from 0, and length of piece i of k pieces of n characters."""
+        short, extra = F.floor(n / k).cast("int"), n % k
+        longer = F.greatest(i - (k - extra), F.lit(0))
+        return i * short + longer, short + (i >= k - extra).cast("int")
+
+    right = inventory.select(F.col("id").alias("candidate")).where("candidate <> ''").distinct().withColumn("n", F.length("candidate"))
+    right = right.withColumn("k", most(F.col("n")) + 1).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    first, size = piece(F.col("n"), F.col("k"), F.col("i"))
+    right = right.select("candidate", "n", "i", F.substr("candidate", first + 1, size).alias("piece"))
+    left = wanted.select("id").where("id <> ''").distinct().withColumn("w", F.length("id"))
+    left = left.withColumn("n", F.explode(F.sequence(F.greatest(F.lit(1), F.col("w") - most(F.col("w"))), F.col("w") + most(F.col("w")))))
+    left = left.withColumn("e", F.floor((1 - threshold) * F.greatest("w", "n") + 1e-9).cast("int")).where(F.abs(F.col("w") - F.col("n")) <= F.col("e"))
+    left = left.withColumn("k", most(F.col("n")) + 1).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    first, size = piece(F.col("n"), F.col("k"), F.col("i"))
+    left = left.withColumns({"first": first, "size": size}).withColumn("at", F.explode(F.sequence(F.greatest(F.lit(0), F.col("first") - F.col("e")), F.greatest(F.lit(0), F.col("first") + F.col("e")))))
+    left = left.where(F.col("at") + F.col("size") <= F.col("w")).select("id", "n", "i", F.substr("id", F.col("at") + 1, F.col("size")).alias("piece")).distinct()
+    pairs = left.join(right, ["n", "i", "piece"]).select("id", "candidate").distinct()
+    scored = pairs.withColumn("similarity", similarity(F.col("id"), F.col("candidate"))).where(F.col("similarity") >= threshold)
     return scored.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(F.col("similarity").desc(), "candidate"))).where(F.col("place") <= best)
 
 

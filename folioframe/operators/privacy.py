@@ -10,6 +10,13 @@ from ..functions import shapes
 KEYWORDS = ["SECTION", "PART", "DIVISION", "SHEET", "DRAWING", "SCHEDULE", "DETAIL", "NOTE", "NOTES"]
 
 
+def _shaped(spans: DataFrame) -> DataFrame:
+    """Spans with the features of their texts and the placeholder made of them, each computed once."""
+    text = F.col("text")
+    out = spans.withColumns({"token_class": shapes.token_class(text), "token_shape": shapes.token_shape(text), "length_bucket": shapes.length_bucket(text), "flag_bits": shapes.flag_bits(text)})
+    return out.withColumn("placeholder_id", shapes.placeholder(*[F.col(c) for c in ("token_class", "token_shape", "length_bucket", "flag_bits")])).drop("flag_bits")
+
+
 def abstract_spans(spans: DataFrame, mode: str = "strict") -> DataFrame:
     """Spans with placeholder, class, shape and bucket in place of the text.
 
@@ -17,7 +24,7 @@ def abstract_spans(spans: DataFrame, mode: str = "strict") -> DataFrame:
     their shape and have the class KEYWORD.
     """
     text = F.col("text")
-    out = spans.withColumns({"token_class": shapes.token_class(text), "token_shape": shapes.token_shape(text), "length_bucket": shapes.length_bucket(text), "placeholder_id": shapes.placeholder(text)})
+    out = _shaped(spans)
     if mode == "whitelist":
         first = F.regexp_extract(F.upper(F.trim(text)), "^([^ ]*)", 1)
         listed = F.upper(F.trim(text)).isin(KEYWORDS) | first.isin(KEYWORDS)
@@ -27,14 +34,14 @@ def abstract_spans(spans: DataFrame, mode: str = "strict") -> DataFrame:
 
 def vault(spans: DataFrame) -> DataFrame:
     """Each placeholder's first text, how often it stands for one, and on how many pages."""
-    keyed = spans.withColumn("placeholder_id", shapes.placeholder(F.col("text")))
+    keyed = _shaped(spans)
     place = F.struct("doc", "page_index", "span_idx")
     return keyed.groupBy("placeholder_id").agg(F.min_by("text", place).alias("first_text"), F.count(F.lit(1)).alias("n"), F.countDistinct("doc", "page_index").alias("n_pages"))
 
 
 def repetition(spans: DataFrame) -> DataFrame:
     """For each placeholder of a document: spans, pages, share of pages, and spans in header, body and footer."""
-    keyed = spans.withColumn("placeholder_id", shapes.placeholder(F.col("text")))
+    keyed = _shaped(spans)
     total = spans.groupBy("doc").agg(F.countDistinct("page_index").alias("total"))
     centre = (F.col("y0") + F.col("y1")) / 2
     head, foot = centre < 0.15 * F.col("height"), centre > 0.85 * F.col("height")
