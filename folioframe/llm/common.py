@@ -174,10 +174,7 @@ def in_sorted(keys: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from ``spark.checkpoint.dir``; a local one only where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = os.path.join(tempfile.gettempdir(), "folioframe-shared")
-        spark.conf.set("spark.checkpoint.dir", folder)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "folioframe-shared")
     return folder.rstrip("/")
 
 
