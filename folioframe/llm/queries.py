@@ -13,7 +13,7 @@ from .linededup import drop_boilerplate, drop_boilerplate_sql
 from .mixing import mix, mix_sql
 from .revisits import resolve_pages, resolve_pages_sql
 from .sstable import token_shards
-from .winnowing import winnow, winnow_sql
+from .winnowing import fingerprints, fingerprints_sql
 
 
 def _quality(spark: SparkSession, d: str) -> DataFrame:
@@ -24,7 +24,7 @@ def _quality(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": lambda spark, d: licenses.scan_documents(read(spark, d, "documents")),
-        "op2_winnowing": lambda spark, d: winnow(read(spark, d, "documents")),
+        "op2_winnowing": lambda spark, d: fingerprints(read(spark, d, "documents")),
         "op3_quality_classifier": _quality,
         "op4_language_id": lambda spark, d: langid.identify_documents(read(spark, d, "documents")),
         "op5_simhash_neardup": lambda spark, d: simhash.group_documents(read(spark, d, "documents")),
@@ -38,7 +38,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op2_winnowing": winnow_sql(),
+        "op2_winnowing": fingerprints_sql(),
         "op6_source_mixing": mix_sql(),
         "op7_decontamination": decontaminate_sql(),
         "op9_revisit_resolution": resolve_pages_sql(),

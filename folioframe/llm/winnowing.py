@@ -100,8 +100,14 @@ def winnow(docs: DataFrame, k: int = 25, w: int = 40) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, n_fingerprints int, hashes array<bigint>, positions array<int>")
 
 
-def winnow_sql(k: int = 25, w: int = 40) -> str:
-    """The same in DuckDB, with one row per document and the lists joined."""
+def fingerprints(docs: DataFrame, k: int = 25, w: int = 40) -> DataFrame:
+    """``winnow`` with a row for each fingerprint: ``doc_id, position, hash``; documents without any have no row."""
+    pairs = winnow(docs, k, w).select("doc_id", F.explode(F.arrays_zip("positions", "hashes")).alias("f"))
+    return pairs.select("doc_id", F.col("f.positions").alias("position"), F.col("f.hashes").alias("hash"))
+
+
+def fingerprints_sql(k: int = 25, w: int = 40) -> str:
+    """``fingerprints`` in DuckDB."""
     terms = " + ".join(f"lead(c, {j}) OVER p * {pow(BASE, j, 1 << 64)}::UHUGEINT" for j in range(k))
     word = r"[0-9A-Za-z\x{00C0}-\x{1FFF}\x{2070}-\x{2FFF}\x{3040}-\x{10FFFF}]"
     return f"""
@@ -120,7 +126,4 @@ chosen AS (SELECT DISTINCT doc_id, picked FROM windows WHERE i <= greatest(m - {
 found AS (
   SELECT g.doc_id, g.pos, CASE WHEN g.h >= 9223372036854775808::UHUGEINT THEN (g.h::HUGEINT - 18446744073709551616::HUGEINT)::BIGINT ELSE g.h::BIGINT END AS h
   FROM full_grams g JOIN chosen c ON g.doc_id = c.doc_id AND g.pos = c.picked)
-SELECT d.doc_id, count(f.pos)::INTEGER AS n_fingerprints,
-  coalesce(list(f.h ORDER BY f.pos) FILTER (f.pos IS NOT NULL), []) AS hashes,
-  coalesce(list(f.pos::INTEGER ORDER BY f.pos) FILTER (f.pos IS NOT NULL), []) AS positions
-FROM documents d LEFT JOIN found f ON d.doc_id = f.doc_id GROUP BY d.doc_id"""
+SELECT doc_id, pos::INTEGER AS position, h AS hash FROM found"""
