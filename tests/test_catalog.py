@@ -14,3 +14,12 @@ def test_same_as_sql(spark, duck, name):
 
 def test_names():
     assert set(SQL) <= set(catalog.queries())
+
+
+KINDS = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
+def test_types(spark, duck):
+    for name, sql in SQL.items():
+        ours = {c: KINDS.get(t) for c, t in catalog.queries()[name](spark, str(DATA)).dtypes}
+        assert ours == {x[0]: str(x[1]) for x in duck.execute(f"SELECT * FROM ({sql}) LIMIT 0").description}, name
