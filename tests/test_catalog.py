@@ -5,11 +5,14 @@ from conftest import DATA, check_same
 from folioframe.plans import catalog
 
 SQL = catalog.oracle_sql()
+#: The 0.001 tables have none of these; the 0.01 tables do.
+MAY_BE_EMPTY = {"outline_duplicates"}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_same_as_sql(spark, duck, name):
-    assert check_same(catalog.queries()[name](spark, str(DATA)), duck, SQL[name]) > 0
+    rows = check_same(catalog.queries()[name](spark, str(DATA)), duck, SQL[name])
+    assert rows > 0 or name in MAY_BE_EMPTY
 
 
 def test_names():
