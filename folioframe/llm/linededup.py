@@ -1,8 +1,9 @@
 """Line dedup by site-relative frequency.
 
-A line that is on more than ``ratio`` of the pages of its host, and on at
-least ``min_pages`` of them, is boilerplate of that host and is dropped from
-every page of it.
+A line that is on more than ``ratio`` of the pages of its host, and on two of
+them at least, is boilerplate of that host and is dropped from every page of
+it.  A larger ``min_pages`` leaves boilerplate on hosts with fewer than
+``min_pages / ratio`` pages.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 
-def boilerplate_lines(docs: DataFrame, host: str = "source", ratio: float = 0.05, min_pages: int = 5) -> DataFrame:
+def boilerplate_lines(docs: DataFrame, host: str = "source", ratio: float = 0.05, min_pages: int = 2) -> DataFrame:
     """Lines above the ratio: ``host, line_key, pages_with_line, host_pages``.
 
     A page counts a line once however often it repeats it.  Only 64-bit keys of
@@ -32,14 +33,16 @@ def boilerplate_lines(docs: DataFrame, host: str = "source", ratio: float = 0.05
     )
 
 
-def drop_boilerplate(docs: DataFrame, host: str = "source", ratio: float = 0.05, min_pages: int = 5) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host: str = "source", ratio: float = 0.05, min_pages: int = 2) -> DataFrame:
     """Documents without their host's boilerplate lines: ``doc_id, host, text, n_lines, n_dropped``.
 
     Lines are compared without surrounding spaces; blank lines are never
     boilerplate.  Every input row gives one output row: repeated rows stay
     repeated and count as pages each.  A null host is a host of its own; a null
     text has no lines and stays null; an empty text is one blank line.  A page
-    that loses all its lines has an empty text.  Columns other than ``doc_id``,
+    that loses all its lines has an empty text.  A host of one page repeats
+    nothing and loses no line; from two pages on the ratio alone decides, unless
+    ``min_pages`` is raised.  Columns other than ``doc_id``,
     ``text`` and the host are not read.  The kept lines of a host are at most
     its mean number of lines over ``ratio``, so the list that is joined to its
     pages is bounded whatever the host's size; the join is Spark's choice, and

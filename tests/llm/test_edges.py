@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns: one test for each operator and stage."""
 
 import pytest
+from conftest import DATA, check_same
 from folioframe.llm import decontamination, langid, licenses, linededup, mixing, quality, revisits, simhash, sstable, winnowing
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -192,3 +193,12 @@ def test_line_dedup(messy, none, spark):
     assert texts[0] == ("own 0\n", 4, 2) and texts[9] == ("menu\nother", 2, 0)
     # a line on exactly the ratio stays
     assert {r.n_dropped for r in linededup.drop_boilerplate(site, ratio=1.0).collect()} == {0}
+
+
+def test_line_dedup_on_hosts_of_every_size(spark, duck):
+    # line k is on the first k pages of its host
+    sizes = range(1, 51)
+    rows = [(100 * n + i, "\n".join(f"line {k}" for k in range(1, n + 1) if i < k), f"host {n}") for n in sizes for i in range(n)]
+    out = linededup.drop_boilerplate(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).where("doc_id % 100 = 0").collect()
+    assert {r.doc_id // 100: r.n_dropped for r in out} == {n: sum(k >= 2 and 20 * k > n for k in range(1, n + 1)) for n in sizes}
+    check_same(linededup.drop_boilerplate(spark.read.parquet(str(DATA / "documents.parquet"))), duck, linededup.drop_boilerplate_sql(min_pages=2))
