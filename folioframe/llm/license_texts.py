@@ -8,6 +8,7 @@ _GPL = (
     "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free "
     "Software Foundation, either version {n} of the License, or (at your option) any later version."
 )
+_GPL_ONLY = _GPL.partition(", either")[0] + ", version {n}."
 _CC = "This work is licensed under a Creative Commons {name} 4.0 International License."
 
 TEMPLATES: list[tuple[str, str, str, list[str]]] = [
@@ -33,8 +34,13 @@ TEMPLATES: list[tuple[str, str, str, list[str]]] = [
     ("gpl3-notice", "GPL-3.0", _GPL.format(name="General Public License", n=3), ["the gnu general public license as published", "either version 3 of the license"]),
     ("gpl2-line", "GPL-2.0", "This work is licensed under the GNU General Public License, version 2", ["gnu general public license version 2"]),
     ("gpl2-notice", "GPL-2.0", _GPL.format(name="General Public License", n=2), ["the gnu general public license as published", "either version 2 of the license"]),
-    ("lgpl-notice", "LGPL-3.0", _GPL.format(name="Lesser General Public License", n=3), ["the gnu lesser general public license as published"]),
-    ("agpl-notice", "AGPL-3.0", _GPL.format(name="Affero General Public License", n=3), ["the gnu affero general public license as published"]),
+    ("lgpl-notice", "LGPL-3.0", _GPL.format(name="Lesser General Public License", n=3), ["the gnu lesser general public license as published", "either version 3 of the license"]),
+    ("lgpl-version", "LGPL-3.0", _GPL_ONLY.format(name="Lesser General Public License", n=3), ["the gnu lesser general public license as published by the free software foundation version 3"]),
+    ("lgpl21-notice", "LGPL-2.1", _GPL.format(name="Lesser General Public License", n=2.1), ["the gnu lesser general public license as published", "either version 2 1 of the license"]),
+    ("lgpl21-version", "LGPL-2.1", _GPL_ONLY.format(name="Lesser General Public License", n=2.1), ["the gnu lesser general public license as published by the free software foundation version 2 1"]),
+    ("lgpl2-notice", "LGPL-2.0", _GPL.format(name="Lesser General Public License", n=2), ["the gnu lesser general public license as published", "either version 2 of the license"]),
+    ("agpl-notice", "AGPL-3.0", _GPL.format(name="Affero General Public License", n=3), ["the gnu affero general public license as published", "either version 3 of the license"]),
+    ("agpl-version", "AGPL-3.0", _GPL_ONLY.format(name="Affero General Public License", n=3), ["the gnu affero general public license as published by the free software foundation version 3"]),
     (
         "bsd-notice",
         "BSD-3-Clause",

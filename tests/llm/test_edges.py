@@ -71,6 +71,16 @@ def test_licenses_repeat_and_overlap(spark):
     assert [(m.license, m.first_word) for m in out[0].matches] == [("Apache-2.0", 30), ("Apache-2.0", 58), ("Proprietary", 66)]
 
 
+def test_licence_versions(spark):
+    notice = "x " * 30 + "This library is free software; you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation; {}. " + "y " * 30
+    gpl, lgpl, agpl = (f"{name}General Public License" for name in ("", "Lesser ", "Affero "))
+    later = "either version {} of the License, or (at your option) any later version"
+    cases = [(gpl, later.format(2), ["GPL-2.0"]), (gpl, later.format(3), ["GPL-3.0"]), (lgpl, later.format(2), ["LGPL-2.0"]), (lgpl, later.format(2.1), ["LGPL-2.1"]), (lgpl, later.format(3), ["LGPL-3.0"]), (agpl, later.format(3), ["AGPL-3.0"])]
+    cases += [(lgpl, "version 2.1 of the License", ["LGPL-2.1"]), (lgpl, "version 3", ["LGPL-3.0"]), (agpl, "version 3 of the License", ["AGPL-3.0"]), (agpl, later.format(1), [])]
+    docs = spark.createDataFrame([(i, notice.format(name, version)) for i, (name, version, _) in enumerate(cases)], "doc_id bigint, text string")
+    assert [r.licenses for r in licenses.scan_documents(docs).orderBy("doc_id").collect()] == [x for _, _, x in cases]
+
+
 def test_winnowing(messy, none):
     out = {(r.doc_id, r.n_fingerprints) for r in winnowing.winnow(messy).collect()}
     assert ids(winnowing.winnow(messy)) == ALL
