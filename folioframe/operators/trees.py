@@ -56,14 +56,17 @@ def duplicate_anchors(found: DataFrame) -> DataFrame:
     return found.withColumn("nth", n).where("nth > 1")
 
 
-def parents_by_level(nodes: DataFrame, group: str = "group_id", deepest: int = 5) -> DataFrame:
-    """Adds ``parent_ord``: the nearest earlier node of a lower level, for nodes ``group, ord, level``."""
+def parents_by_level(nodes: DataFrame, group: str = "group_id") -> DataFrame:
+    """Adds ``parent_ord``: the nearest earlier node of a lower level, for nodes ``group, ord, level``; a null level has no parent.
+
+    The levels are read from the data first; there is a running column for each
+    of them.
+    """
+    levels = sorted(r.level for r in nodes.select("level").where("level IS NOT NULL").distinct().collect())
     w = Window.partitionBy(group).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    last = [F.last(F.when(F.col("level") == k, F.col("ord")), ignorenulls=True).over(w) for k in range(deepest)]
-    out = F.lit(None).cast("bigint")
-    for level in range(1, deepest + 1):
-        out = F.when(F.col("level") == level, F.greatest(*last[:level]) if level > 1 else last[0]).otherwise(out)
-    return nodes.withColumn("parent_ord", out)
+    last = [F.when(F.col("level") > k, F.last(F.when(F.col("level") == k, F.col("ord")), ignorenulls=True).over(w)) for k in levels[:-1]]
+    none = F.lit(None).cast("bigint")
+    return nodes.withColumn("parent_ord", F.greatest(none, none, *last))
 
 
 def depths(spark: SparkSession, nodes: DataFrame) -> DataFrame:
