@@ -65,10 +65,25 @@ def placed_sections(wanted: DataFrame, footers: DataFrame, headings: DataFrame,
     return out.select("doc", "section_id", F.coalesce(*ways).alias("page_index"), F.coalesce(*[F.when(F.col(w).isNotNull(), w) for w in ways], F.lit("invalid")).alias("way"))
 
 
-def hoist_unanchored(nodes: DataFrame, deepest: int = 6) -> DataFrame:
-    """Nodes with an anchor (``node_id, parent_id, anchor``); each one's parent is its nearest ancestor with an anchor."""
+def hoist_unanchored(nodes: DataFrame, every: int = 8) -> DataFrame:
+    """Nodes with an anchor (``node_id, parent_id, anchor``); each one's parent is its nearest ancestor with an anchor.
+
+    A join for each removed node of the longest chain; lineage is cut after
+    every few of them.
+    """
+    spark = nodes.sparkSession
     gone = nodes.where("anchor IS NULL").select(F.col("node_id").alias("gone_id"), F.col("parent_id").alias("gone_parent"))
-    out = nodes.where("anchor IS NOT NULL")
-    for _ in range(deepest):
-        out = out.join(gone, F.col("parent_id") == F.col("gone_id"), "left").withColumn("parent_id", F.when(F.col("gone_id").isNotNull(), F.col("gone_parent")).otherwise(F.col("parent_id"))).drop("gone_id", "gone_parent")
-    return out
+    # removed nodes with their nearest ancestor that isn't, from the top of each chain down
+    front = gone.join(gone.select(F.col("gone_id").alias("above")), F.col("gone_parent") == F.col("above"), "left_anti")
+    found, i = front, 0
+    while True:
+        up = front.select(F.col("gone_id").alias("above"), F.col("gone_parent").alias("higher"))
+        front = gone.join(up, F.col("gone_parent") == F.col("above")).select("gone_id", F.col("higher").alias("gone_parent"))
+        i += 1
+        if spark.conf.get("spark.checkpoint.dir", None) and i % every == 0:
+            front, found = front.checkpoint(), found.checkpoint()
+        if front.isEmpty():
+            break
+        found = found.unionByName(front)
+    out = nodes.where("anchor IS NOT NULL").join(found, F.col("parent_id") == F.col("gone_id"), "left")
+    return out.withColumn("parent_id", F.when(F.col("gone_id").isNotNull(), F.col("gone_parent")).otherwise(F.col("parent_id"))).drop("gone_id", "gone_parent")

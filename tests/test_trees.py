@@ -2,7 +2,7 @@
 
 import random
 
-from folioframe.operators import trees
+from folioframe.operators import report, trees
 
 
 def test_parents_at_every_level(spark):
@@ -18,3 +18,20 @@ def test_parents_at_every_level(spark):
         assert {(r.group_id, r.ord): r.parent_ord for r in build(nodes).collect()} == {(g, i): parent(g, i, k) for g, i, k in rows}
         assert build(nodes.limit(0)).count() == 0
         assert {r.parent_ord for r in build(nodes.where("level = 6 OR level IS NULL")).collect()} == {None}
+
+
+def test_hoisting_over_long_chains(spark):
+    rng = random.Random(6)
+    nodes = {0: (None, "a")} | {i: (i - 1, "a" if i == 19 else None) for i in range(1, 20)}  # 18 removed nodes in a row
+    nodes |= {20: (None, None), 21: (20, None), 22: (21, "a"), 23: (10, "a")}
+    nodes |= {i: (rng.randrange(24, i) if i > 24 else None, rng.choice(["a", None, None, None])) for i in range(24, 120)}
+
+    def nearest(i):
+        while i is not None and nodes[i][1] is None:
+            i = nodes[i][0]
+        return i
+
+    table = spark.createDataFrame([(i, p, a) for i, (p, a) in nodes.items()], "node_id bigint, parent_id bigint, anchor string")
+    got = [(r.node_id, r.parent_id) for r in report.hoist_unanchored(table).collect()]
+    assert sorted(got) == [(i, nearest(p)) for i, (p, a) in nodes.items() if a]
+    assert report.hoist_unanchored(table.limit(0)).count() == 0
