@@ -10,6 +10,7 @@ same as a regular expression for SQL.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -173,15 +174,24 @@ def in_sorted(keys: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``; a local one only where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "folioframe-shared")
+    """The folder that all executors share, from ``spark.checkpoint.dir``.
+
+    Where that is unset, a local folder serves a master that runs in this
+    process; on a cluster it would lose rows silently, so that is an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = os.path.join(tempfile.gettempdir(), "folioframe-shared")
     return folder.rstrip("/")
 
 
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends, and a lost executor loses nothing.
 
-    An application's tables are in a folder of its own, which may be deleted when it has ended.
+    An application's tables are in a folder of its own, which may be deleted
+    when it has ended; ``discard`` deletes one that is no longer read.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/folioframe/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
@@ -189,6 +199,20 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that ``materialise`` returned."""
+    spark = df.sparkSession
+    folders = {file.rsplit("/", 1)[0] for file in df.inputFiles()}
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def id_type(docs: DataFrame, column: str = "doc_id") -> str:
+    """The type of the identifier, which passes through as it is."""
+    return docs.schema[column].dataType.simpleString()
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

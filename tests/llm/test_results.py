@@ -123,40 +123,83 @@ def test_languages(spark):
     assert np.abs(rates - filters.false_rates).max() < 5e-4
 
 
-def test_forest_by_brute_force(spark, docs):
-    rows = docs.select("doc_id", "text").collect()
+def naive_simhash(text):
+    """SimHash and features of a text, by the definition and with a feature at a time."""
+    data, offsets = simhash.lowered(pa.array([text]))
+    starts, ends, _ = simhash.word_spans(data, offsets)
+    words = simhash.word_hashes(data, starts, ends).tolist()
+    pairs = [int(x) for x in simhash.splitmix(np.array([(a * simhash.BASE + b) % (1 << 64) for a, b in zip(words, words[1:])], np.uint64))]
+    features = {x % (1 << 48) for x in words + pairs}
+    votes = np.zeros(simhash.BITS, np.int64)
+    for x in features:
+        a = simhash.splitmix(np.array([x], np.uint64))
+        votes += np.unpackbits(np.r_[a, simhash.splitmix(a)].view(np.uint8))
+    return np.packbits(votes * 2 > len(features)).view(np.uint64), features
+
+
+def connected(n, pairs):
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in pairs:
+        a, b = find(i), find(j)
+        root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(n)]
+
+
+@pytest.fixture(scope="module")
+def copied(spark, docs):
+    """The documents and changed copies of some, with all pairs within the radius that share enough features."""
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
     rng = random.Random(5)
     extra = []
-    for r in rows[:60]:
-        words = r.text.split(" ")
+    for doc_id, text in rows[:60]:
+        words = text.split(" ")
         for _ in range(max(1, len(words) // 50)):
             words[rng.randrange(len(words))] = "changed"
-        extra.append((10_000 + r.doc_id, " ".join(words)))
+        extra.append((10_000 + doc_id, " ".join(words)))
     table = docs.select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id bigint, text string"))
-    everything = [tuple(r) for r in rows] + extra
-    sims, _, sketches = simhash.simhashes(pa.array([t for _, t in everything]))
+    everything = rows + extra
+    known = [naive_simhash(t) for _, t in everything]
+    sims = np.stack([s for s, _ in known])
     near = np.bitwise_count(sims[:, None] ^ sims[None]).sum(2) <= simhash.RADIUS
-    for i, j in zip(*np.nonzero(np.triu(near, 1))):
-        near[i, j] = simhash.shared_features(sketches[i], sketches[j]) >= simhash.LEAST_SHARED
+    share = lambda x, y: len(x & y) / max(1, len(x | y))
+    pairs = [(i, j, share(known[i][1], known[j][1])) for i, j in zip(*np.nonzero(np.triu(near, 1)))]
+    return table, everything, pairs
+
+
+def test_forest_by_brute_force(copied):
+    """Over all pairs, with SimHashes and shares of features worked out plainly; the estimate may err by 0.2."""
+    table, everything, pairs = copied
     group = {r.doc_id: r.group_id for r in simhash.group_documents(table).collect()}
-    pairs = [(everything[i][0], everything[j][0]) for i, j in zip(*np.nonzero(np.triu(near, 1)))]
-    assert len(pairs) > 50 and np.mean([group[a] == group[b] for a, b in pairs]) >= 0.9
-    # groups are connected by such pairs
-    root = list(range(len(everything)))
-    for i, j in zip(*np.nonzero(np.triu(near, 1))):
-        a, b = int(i), int(j)
-        while root[a] != a:
-            a = root[a]
-        while root[b] != b:
-            b = root[b]
-        root[max(a, b)] = min(a, b)
-    exact = {}
-    for i, (doc_id, _) in enumerate(everything):
-        while root[i] != root[root[i]]:
-            root[i] = root[root[i]]
-        exact.setdefault(root[i], []).append(doc_id)
-    of = {d: k for k, ids in exact.items() for d in ids}
-    assert all(of[d] == of[g] for d, g in group.items())
+    near = [(i, j) for i, j, share in pairs if share >= simhash.LEAST_SHARED + 0.2]
+    assert len(near) > 50 and np.mean([group[everything[i][0]] == group[everything[j][0]] for i, j in near]) >= 0.9
+    texts = {}
+    alike = [(i, j) for i, j, share in pairs if share >= simhash.LEAST_SHARED - 0.2]
+    alike += [(texts.setdefault(t, i), i) for i, (_, t) in enumerate(everything)]
+    root = connected(len(everything), alike)
+    at = {d: root[i] for i, (d, _) in enumerate(everything)}
+    assert all(at[d] == at[g] for d, g in group.items())
+    assert all(g == min(d for d in group if group[d] == g) for g in set(group.values()))
+
+
+def test_forest_with_small_windows(copied, spark):
+    """The same with windows far smaller than the table, so that prefixes, parts and chunks matter."""
+    table, everything, pairs = copied
+    nodes = simhash._slim(table).dropDuplicates(["key"]).where("n_features > 0")
+    window = 4
+    assert simhash.shape(nodes.count(), window=window)[0] > simhash.PART
+    met = {frozenset((bytes(r.a), bytes(r.b))) for r in simhash.near_edges(nodes, nodes.count(), window=window).collect()}
+    key = {r.doc_id: bytes(r.key) for r in simhash._slim(table).collect()}
+    ids = sorted(set(key.values()))
+    at = {k: i for i, k in enumerate(ids)}
+    root = connected(len(ids), [tuple(sorted(at[k] for k in pair)) for pair in met])
+    near = [(key[everything[i][0]], key[everything[j][0]]) for i, j, share in pairs if share >= simhash.LEAST_SHARED + 0.2]
+    assert np.mean([root[at[a]] == root[at[b]] for a, b in near]) >= 0.9
 
 
 @pytest.mark.parametrize("n", [2, 40, 700])
@@ -164,18 +207,34 @@ def test_linked_components(n):
     rng = np.random.default_rng(n)
     centre = rng.integers(0, 1 << 63, (5, 2), dtype=np.uint64)
     sims = centre[rng.integers(0, 5, n)] ^ (np.uint64(1) << rng.integers(0, 63, (n, 2)).astype(np.uint64))
-    root = np.arange(n)
-    for i, j in simhash.linked(sims, 8):
-        assert np.bitwise_count(sims[i] ^ sims[j]).sum() <= 8
-        root[root == root[j]] = root[i]
-    near = np.bitwise_count(sims[:, None] ^ sims[None]).sum(2) <= 8
-    assert all(root[i] == root[j] for i, j in zip(*np.nonzero(near)))
+    part = np.arange(n) // 400
+    i, j = simhash.linked(sims[:, 0].copy(), sims[:, 1].copy(), part, radius=8)
+    assert (np.bitwise_count(sims[i] ^ sims[j]).sum(1) <= 8).all() and (part[i] == part[j]).all()
+    near = (np.bitwise_count(sims[:, None] ^ sims[None]).sum(2) <= 8) & (part[:, None] == part)
+    root = connected(n, zip(i.tolist(), j.tolist()))
+    assert root == connected(n, zip(*(x.tolist() for x in np.nonzero(np.triu(near, 1)))))
 
 
 def test_forest_recall_at_the_radius():
-    for n in (10, 10_000, 10**7, 10**10):
-        depth, tries = simhash.shape(n)
-        assert 1 - (1 - simhash.meet(simhash.RADIUS, depth)) ** tries >= simhash.RECALL
+    tries = []
+    for n in (10, 10_000, 10**6, 10**7, 10**10, 10**12):
+        depth, many = simhash.shape(n)
+        tries.append(many)
+        assert 1 - (1 - simhash.meet(simhash.RADIUS, depth)) ** many >= simhash.RECALL
+        assert n <= simhash.WINDOW << depth
+    assert tries == sorted(tries) and tries[0] == 1
+
+
+@given(st.lists(st.tuples(*[st.sets(st.integers(0, 200), max_size=90)] * 2), min_size=1, max_size=8))
+@settings(max_examples=60, deadline=None)
+def test_shared_features(pairs):
+    def sketch(features):
+        return np.array(sorted(features)[: simhash.SKETCH], np.uint32).tobytes()
+
+    got = simhash.shared_features(*(pa.array([sketch(p[k]) for p in pairs], pa.binary()) for k in (0, 1)))
+    for share, (a, b) in zip(got, pairs):
+        least = sorted(set(sorted(a)[: simhash.SKETCH]) | set(sorted(b)[: simhash.SKETCH]))[: simhash.SKETCH]
+        assert share == sum(x in a and x in b for x in least) / max(1, len(least))
 
 
 @given(st.lists(st.text(max_size=30) | st.text(" '\nastmrevld12.é\t", max_size=40) | st.none(), max_size=12))
