@@ -1,7 +1,7 @@
 """Language ID with bit-sliced Bloom filters of n-grams.
 
-One table of machine words serves all languages: bit l of a word belongs to
-the Bloom filter of language l.  An n-gram's words at its hash positions,
+One table of machine words serves 64 languages: bit l of a word belongs to the
+Bloom filter of language l; more languages have more tables.  An n-gram's words at its hash positions,
 and-ed, give a bitmask of all languages that may contain it.  Per document the
 bits are counted for each language, corrected for the filter's false positives,
 and the language with the largest share wins.
@@ -14,14 +14,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lowered, splitmix, steps
+from .common import id_type, lowered, materialise, splitmix, steps
 
 #: Lengths of the n-grams, in bytes of the folded text.
 SIZES = (3, 4, 5)
-#: Labelled rows per language that the filters are made from, at most; of those with the smallest hashes.
+#: Different labelled texts per language that the filters are made from, at most; those with the smallest hashes.
 FIT_ROWS = 600
 #: An n-gram counts for a language from this rate on, per million n-grams of its size there.
 MIN_RATE = 40.0
@@ -72,22 +72,25 @@ def positions(codes: np.ndarray, bits: int, probes: int) -> list[np.ndarray]:
 
 @dataclass
 class Filters:
-    """The table, the languages by bit, and each filter's rate of false positives."""
+    """The tables, each with the languages by bit of 64 at most, and each filter's rate of false positives."""
 
     languages: list[str]
-    table: np.ndarray
+    tables: list[np.ndarray]
     false_rates: np.ndarray
     bits: int = TABLE_BITS
     probes: int = PROBES
     grams: dict = field(default_factory=dict)
 
-    def masks(self, codes: np.ndarray) -> np.ndarray:
-        """The languages that may contain each n-gram."""
-        first, *rest = positions(codes, self.bits, self.probes)
-        out = self.table[first]
-        for at in rest:
-            out = out & self.table[at]
-        return out
+    def masks(self, codes: np.ndarray) -> list[np.ndarray]:
+        """The languages that may contain each n-gram, from each table."""
+        at = positions(codes, self.bits, self.probes)
+        found = []
+        for table in self.tables:
+            out = table[at[0]]
+            for x in at[1:]:
+                out = out & table[x]
+            found.append(out)
+        return found
 
     def counts(self, texts: pa.Array, sizes: tuple[int, ...] = SIZES) -> tuple[np.ndarray, np.ndarray]:
         """For each row and language the n-grams that its filter has, and each row's n-grams."""
@@ -95,15 +98,17 @@ class Filters:
         n = len(rows) - 1
         found, total = np.zeros((n, len(self.languages)), np.int64), np.zeros(n, np.int64)
         for size in sizes:
-            masks = self.masks(gram_codes(data, size))
+            codes = gram_codes(data, size)
             # n-grams that end in the same row
-            starts = np.minimum(rows[:-1], len(masks))
-            ends = np.minimum(np.maximum(rows[1:] - size + 1, starts), len(masks))
+            starts = np.minimum(rows[:-1], len(codes))
+            ends = np.minimum(np.maximum(rows[1:] - size + 1, starts), len(codes))
             total += ends - starts
-            for bit in range(len(self.languages)):
-                sums = np.zeros(len(masks) + 1, np.int64)
-                np.cumsum((masks >> np.asarray(bit, masks.dtype)) & np.asarray(1, masks.dtype), out=sums[1:])
-                found[:, bit] += sums[ends] - sums[starts]
+            masks = self.masks(codes)
+            sums = np.zeros(len(codes) + 1, np.int64)
+            for language in range(len(self.languages)):
+                mask, bit = masks[language // 64], language % 64
+                np.cumsum((mask >> np.asarray(bit, mask.dtype)) & np.asarray(1, mask.dtype), out=sums[1:])
+                found[:, language] += sums[ends] - sums[starts]
         return found, total
 
     def shares(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -117,39 +122,53 @@ class Filters:
 
 
 def build_filters(texts: dict[str, list[str]], min_rate: float = MIN_RATE, bits: int = TABLE_BITS, probes: int = PROBES) -> Filters:
-    """Filters of the n-grams that are frequent in each language's texts; at most 64 languages."""
+    """Filters of the n-grams that are frequent in each language's texts; a table for every 64 languages."""
     languages = sorted(texts)
-    if len(languages) > 64:
-        raise ValueError("at most 64 languages")
-    kind = next(k for k, most in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(languages) <= most)
-    table = np.zeros(1 << bits, kind)
-    grams = {}
-    for bit, language in enumerate(languages):
-        data, _ = folded(pa.array(texts[language], pa.string()))
-        members = []
-        for size in SIZES:
-            codes, n = np.unique(gram_codes(data, size), return_counts=True)
-            members.append(codes[n >= max(2.0, min_rate * n.sum() / 1e6)])
-        grams[language] = np.concatenate(members) if members else np.zeros(0, np.uint64)
-        for at in positions(grams[language], bits, probes):
-            table[at] |= np.asarray(1 << bit, kind)
-    one = np.asarray(1, kind)
-    fill = np.array([((table >> np.asarray(b, kind)) & one).mean() for b in range(len(languages))])
-    return Filters(languages, table, fill**probes, bits, probes, grams)
+    tables, fills, grams = [], [], {}
+    for at in range(0, len(languages), 64):
+        some = languages[at : at + 64]
+        kinds = ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64))
+        kind = next(k for k, most in kinds if len(some) <= most)
+        table = np.zeros(1 << bits, kind)
+        for bit, language in enumerate(some):
+            data, _ = folded(pa.array(texts[language], pa.string()))
+            members = []
+            for size in SIZES:
+                codes, n = np.unique(gram_codes(data, size), return_counts=True)
+                members.append(codes[n >= max(2.0, min_rate * n.sum() / 1e6)])
+            grams[language] = np.concatenate(members)
+            for place in positions(grams[language], bits, probes):
+                table[place] |= np.asarray(1 << bit, kind)
+        one = np.asarray(1, kind)
+        fills += [((table >> np.asarray(b, kind)) & one).mean() for b in range(len(some))]
+        tables.append(table)
+    return Filters(languages, tables, np.array(fills) ** probes, bits, probes, grams)
+
+
+def sample(docs: DataFrame, rows_per_language: int = FIT_ROWS) -> DataFrame:
+    """``lang, text``: of each language the different texts with the smallest hashes, exactly so many at most.
+
+    A text counts once however often it repeats.  A cut on the hash at twice
+    the wanted share of the different texts comes first, so that only about
+    that many hashes are shuffled and ranked, and only the chosen texts read.
+    """
+    lang, text = F.col("lang").cast("string"), F.col("text").cast("string")
+    labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL AND lang <> ''")
+    labelled = labelled.select(lang.alias("lang"), text.alias("text"), F.xxhash64(F.md5(text)).alias("h"))
+    share = F.col("h").bitwiseAND(F.lit((1 << 32) - 1)) / float(1 << 32)
+    different = labelled.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"))
+    cuts = different.select(F.col("lang").alias("of"), (2.0 * rows_per_language / F.col("n")).alias("cut"))
+    low = labelled.select("lang", "h").join(cuts, F.col("lang") == F.col("of")).where(share < F.col("cut"))
+    ranked = low.select("lang", "h").distinct().withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(share, "h")))
+    chosen = ranked.where(F.col("nth") <= rows_per_language).select(F.col("lang").alias("of"), F.col("h").alias("of_h"))
+    same = (F.col("lang") == F.col("of")) & (F.col("h") == F.col("of_h"))
+    return labelled.join(materialise(chosen), same).groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text")
 
 
 def fit(docs: DataFrame, rows_per_language: int = FIT_ROWS) -> Filters:
-    """Filters from rows with a language label, a bounded number for each language, chosen by hash."""
-    labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL AND lang <> ''").select(F.col("lang").cast("string").alias("lang"), F.xxhash64(F.md5(F.col("text").cast("string"))).alias("h"))
-    # the hash below which about the wanted rows lie; only the chosen rows' texts are read to the driver
-    counts = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}
-    if not counts:
-        return Filters([], np.zeros(1 << TABLE_BITS, np.uint8), np.zeros(0))
-    cut = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, float(min(1.0, rows_per_language / n)))])
-    share = (F.xxhash64(F.md5(F.col("text").cast("string"))).bitwiseAND(F.lit((1 << 32) - 1)) / float(1 << 32))
-    chosen = docs.where("lang IS NOT NULL AND text IS NOT NULL AND lang <> ''").where(share < cut[F.col("lang").cast("string")]).select(F.col("lang").cast("string"), F.col("text").cast("string"))
+    """Filters from rows with a language label, a bounded number for each language; see ``sample``."""
     texts: dict[str, list[str]] = {}
-    for language, text in chosen.collect():
+    for language, text in sample(docs, rows_per_language).collect():
         texts.setdefault(language, []).append(text)
     return build_filters({k: sorted(v) for k, v in texts.items()})
 
@@ -162,8 +181,10 @@ def identify(docs: DataFrame, filters: Filters, min_share: float = MIN_SHARE) ->
     null or empty text, or one without letters, has no n-grams and is ``und``
     with share 0.  Without filters (no labelled rows) every row is ``und``.
     Every input row gives one output row and repeated rows repeat; a null
-    ``doc_id`` stays null.  Whole texts are counted, and other columns are not
-    read.  The table is broadcast; its size is fixed (``TABLE_BITS``).
+    ``doc_id`` stays null; an empty table gives an empty result.  ``doc_id``
+    may have any type.  Whole texts are counted, and other columns are not
+    read.  The tables are broadcast: one of fixed size (``TABLE_BITS``) for
+    every 64 languages, of which there may be any number.
     """
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 
@@ -186,7 +207,7 @@ def identify(docs: DataFrame, filters: Filters, min_share: float = MIN_SHARE) ->
                 ["doc_id", "language", "share", "runner_up", "runner_up_share", "n_grams"],
             )
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, language string, share double, runner_up string, runner_up_share double, n_grams bigint")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {id_type(docs)}, language string, share double, runner_up string, runner_up_share double, n_grams bigint")
 
 
 def identify_documents(docs: DataFrame) -> DataFrame:
