@@ -12,26 +12,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 #: Headers that a not-modified answer may update (RFC 9110, 15.4.5); others stay as stored.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 
-_RULES = [
-    (r"[#].*$", ""),
-    (r"^https?://", ""),
-    (r"^(www|m)[.]", ""),
-    (r"([?&])(utm_[a-z]+|ref)=[^&]*", "$1"),
-    (r"([?&])&+", "$1"),
-    (r"[?&]+$", ""),
-    (r"/+($|[?])", "$1"),
-]
+#: Query parameters that only track where a visit came from.
+TRACKING = "utm_[a-z_]+|gclid|fbclid"
+#: Seconds of a URL's log that one window goes over; what is known at its start is carried in.
+SLOT = 3600
 
 
 def canonical_url(url: Column) -> Column:
-    """The URL without scheme, ``www.`` or ``m.``, fragment, tracking parameters and trailing slashes, in lower case."""
-    out = F.lower(F.trim(url))
-    for pattern, by in _RULES:
-        out = F.regexp_replace(out, F.lit(pattern), F.lit(by))
-    return out
+    """The URL in one form for all that name the same resource.
+
+    Scheme and host are in lower case, and http and https are one; a leading
+    ``www.``, the default port, the fragment, tracking parameters (``TRACKING``)
+    and slashes at the path's end go; parameters are in order.  Case counts in
+    path and query.
+    """
+    whole = F.regexp_replace(F.trim(url), "#.*$", "")
+    bare = F.regexp_replace(whole, "^[A-Za-z][A-Za-z0-9+.-]*://", "")
+    host = F.regexp_replace(F.lower(F.regexp_extract(bare, "^[^/?]*", 0)), "^www[.]|:(80|443)?$", "")
+    path = F.regexp_replace(F.regexp_extract(bare, "^[^/?]*([^?]*)", 1), "/+$", "")
+    query = F.split(F.regexp_extract(bare, "^[^?]*[?](.*)$", 1), "&")
+    kept = F.array_sort(F.filter(query, lambda x: (x != "") & ~x.rlike(f"^({TRACKING})(=|$)")))
+    return F.concat(host, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""))
+
+
+def canonical_sql(url: str) -> str:
+    """``canonical_url`` in DuckDB."""
+    bare = f"regexp_replace(regexp_replace(trim({url}), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '')"
+    kept = f"list_sort(list_filter(string_split(regexp_extract({bare}, '^[^?]*[?](.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^({TRACKING})(=|$)')))"
+    host = f"regexp_replace(lower(regexp_extract({bare}, '^[^/?]*')), '^www[.]|:(80|443)?$', '', 'g')"
+    path = f"regexp_replace(regexp_extract({bare}, '^[^/?]*([^?]*)', 1), '/+$', '')"
+    return f"{host} || {path} || CASE WHEN len({kept}) > 0 THEN '?' || array_to_string({kept}, '&') ELSE '' END"
 
 
 def capture_log(pages: DataFrame) -> DataFrame:
@@ -74,6 +89,35 @@ def capture_log(pages: DataFrame) -> DataFrame:
     return pages.select("url", F.explode(F.array(full, again, later)).alias("r")).select("r.record_id", "url", "r.kind", "r.at", "r.headers", "r.body")
 
 
+def _lower_names(headers: Column) -> Column:
+    """Headers with their names in lower case; of names that then are equal the first in order of (name, value)."""
+    entries = F.array_sort(F.map_entries(headers))
+    names = F.array_distinct(F.transform(entries, lambda e: F.lower(e["key"])))
+    first = F.transform(names, lambda n: F.filter(entries, lambda e: F.lower(e["key"]) == n)[0]["value"])
+    return F.when(headers.isNull(), F.expr("cast(map() as map<string,string>)")).otherwise(F.map_from_arrays(names, first))
+
+
+def latest_earlier(slim: DataFrame, full: Column) -> DataFrame:
+    """The revisits with ``stored``, the latest response of their URL before them, as of their time.
+
+    A URL's log is cut into slots of time.  A window goes over one slot, and
+    what was last stored before a slot comes from a window over a row for each
+    slot, so that a URL that is visited all the time is sorted in many tasks.
+    """
+    slotted = slim.withColumn("slot", F.floor(F.col("at").cast("double") / SLOT))
+    rank = F.struct("at", F.col("record_id").isNotNull().alias("known"), "record_id")
+    ends = slotted.where("is_full").groupBy("canonical", "slot").agg(F.max_by(full, rank).alias("stored_last"))
+    slots = ends.unionByName(slotted.where("NOT is_full").select("canonical", "slot").distinct(), allowMissingColumns=True)
+    slots = slots.groupBy("canonical", "slot").agg(F.max("stored_last").alias("stored_last"))
+    before = Window.partitionBy("canonical").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    carried = slots.select("canonical", "slot", F.last("stored_last", ignorenulls=True).over(before).alias("carried"))
+    # at equal times revisits come first, so that "earlier" is strict
+    order = Window.partitionBy("canonical", "slot").orderBy("at", "is_full", F.col("record_id").asc_nulls_first())
+    here = F.last(F.when(F.col("is_full"), full), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    found = slotted.withColumn("here", here).where("NOT is_full").join(carried, ["canonical", "slot"], "left")
+    return found.withColumn("stored", F.coalesce("here", "carried")).drop("here", "carried", "slot")
+
+
 def resolve_revisits(log: DataFrame) -> DataFrame:
     """Complete records for the revisits: ``record_id, canonical, at, status, source_id, headers, body``.
 
@@ -87,29 +131,28 @@ def resolve_revisits(log: DataFrame) -> DataFrame:
     the revisit carries in place of the stored ones; a name that isn't permitted
     is never taken from it.
 
-    Of responses at the same time the one with the largest ``record_id`` is the
-    latest; a response at the revisit's own time isn't earlier.  A revisit
+    Names of headers compare and come out in lower case.  Of responses at the
+    same time the one with the largest ``record_id`` is the latest, nulls being
+    the smallest; a response at the revisit's own time isn't earlier.  A revisit
     without URL or time has no earlier response; null headers are empty.
-    Repeated revisits give repeated results; responses with one ``record_id`` are
-    one response, with the smallest of their bodies.
-    Other columns are not read.
+    Repeated revisits give repeated results; responses with one ``record_id``
+    are one response, with the smallest of their bodies.  An empty log gives an
+    empty result.  ``at`` is a time or a number of seconds.  Other columns are
+    not read, whatever they are called.
 
-    The as-of join is one window over slim rows (URL, time, validators, headers);
-    bodies are joined by ``record_id`` afterwards, so that no body is sorted and
-    a hot URL moves only slim rows.
+    Only slim rows (URL, time, headers) are sorted; bodies are joined by
+    ``record_id`` afterwards, and only those of responses that a revisit needs.
     """
-    slim = log.select("record_id", F.col("kind"), F.col("at"), F.coalesce("headers", F.expr("cast(map() as map<string,string>)")).alias("headers"), canonical_url(F.col("url")).alias("canonical"))
+    slim = log.select("record_id", F.col("kind"), F.col("at"), _lower_names(F.col("headers")).alias("headers"), canonical_url(F.col("url")).alias("canonical"))
     slim = slim.withColumn("is_full", F.col("kind") == "response").where("is_full OR kind = 'revisit'")
-    full = F.when(F.col("is_full"), F.struct("record_id", "headers"))
-    # at equal times revisits come first, so that "earlier" is strict
-    order = Window.partitionBy("canonical").orderBy(F.col("at"), F.col("is_full"), F.col("record_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    # entries in place of a map, so that rows can be compared
+    full = F.struct("record_id", F.map_entries("headers").alias("entries"))
     usable = F.col("canonical").isNotNull() & F.col("at").isNotNull()
-    revisits = (
-        slim.where(usable).withColumn("stored", F.last(full, ignorenulls=True).over(order)).where("NOT is_full")
-        .unionByName(slim.where(~usable & ~F.col("is_full")).withColumn("stored", F.lit(None).cast("struct<record_id:bigint,headers:map<string,string>>")))
-    )
+    dated = latest_earlier(slim.where(usable), full)
+    kind = dated.schema["stored"].dataType
+    revisits = dated.unionByName(slim.where(~usable & ~F.col("is_full")).withColumn("stored", F.lit(None).cast(kind)))
     bare = lambda x: F.regexp_replace(x, "^W/", "")
-    mine, theirs = F.col("headers"), F.col("stored.headers")
+    mine, theirs = F.col("headers"), F.map_from_entries("stored.entries")
     tag, old_tag, date, old_date = mine["etag"], theirs["etag"], mine["last-modified"], theirs["last-modified"]
     status = (
         F.when(F.col("stored").isNull(), "no-earlier-response")
@@ -120,10 +163,20 @@ def resolve_revisits(log: DataFrame) -> DataFrame:
     permitted = F.array(*[F.lit(h) for h in PERMITTED])
     update = F.map_filter(mine, lambda k, v: F.array_contains(permitted, k) & v.isNotNull())
     merged = F.map_concat(F.map_filter(theirs, lambda k, v: ~F.map_contains_key(update, k)), update)
+    resolved = F.col("status") == "resolved"
     found = revisits.withColumn("status", status).select(
-        "record_id", "canonical", "at", "status", F.when(F.col("status") == "resolved", F.col("stored.record_id")).alias("source_id"), F.when(F.col("status") == "resolved", merged).otherwise(mine).alias("headers")
+        "record_id",
+        "canonical",
+        "at",
+        "status",
+        F.when(resolved, F.col("stored.record_id")).alias("source_id"),
+        F.when(resolved, merged).otherwise(mine).alias("headers"),
     )
-    bodies = log.where("kind = 'response' AND record_id IS NOT NULL").groupBy(F.col("record_id").alias("b_id")).agg(F.min("body").alias("body"))
+    # written once: the sources are asked for first, and then take their bodies to the records
+    found = materialise(found)
+    wanted = found.where("source_id IS NOT NULL").select(F.col("source_id").alias("w_id")).distinct()
+    stored = log.where("kind = 'response' AND record_id IS NOT NULL").select(F.col("record_id").alias("b_id"), "body")
+    bodies = stored.join(wanted, F.col("b_id") == F.col("w_id"), "left_semi").groupBy("b_id").agg(F.min("body").alias("body"))
     return found.join(bodies, F.col("source_id") == F.col("b_id"), "left").drop("b_id")
 
 
@@ -133,19 +186,21 @@ def header_lines(headers: Column) -> Column:
 
 
 def resolve_pages(pages: DataFrame) -> DataFrame:
-    """``resolve_revisits`` over the log of ``capture_log``, with times in seconds and headers as lines."""
+    """``resolve_revisits`` over the log of ``capture_log``, with times in seconds and headers as lines.
+
+    Each row of ``pages`` gives two revisits, repeated rows too; a null
+    ``page_id`` or ``url`` gives two without an earlier response, an empty table
+    none.  A null ``html`` is stored as a null body.
+    """
     out = resolve_revisits(capture_log(pages))
     return out.select("record_id", "canonical", F.unix_seconds("at").alias("at_seconds"), "status", "source_id", header_lines(F.col("headers")).alias("headers"), "body")
 
 
 def resolve_pages_sql() -> str:
-    url = "lower(trim(url))"
-    for pattern, by in _RULES:
-        url = f"regexp_replace({url}, '{pattern}', '{by.replace('$1', chr(92) + '1')}', 'g')"
     names = ", ".join(f"'{h}'" for h in PERMITTED)
     return f"""
 WITH base AS (
-  SELECT page_id AS p, {url} AS canonical, html,
+  SELECT page_id AS p, {canonical_sql('url')} AS canonical, html,
     CASE WHEN page_id % 7 <> 0 THEN '"' || md5(html) || '"' END AS etag, CASE WHEN page_id % 7 = 0 THEN 't' || page_id END AS modified
   FROM pages),
 log AS (
