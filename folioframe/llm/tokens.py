@@ -37,8 +37,6 @@ def encoding(path: str):
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    if max(ranks.values()) > 0xFFFF:
-        raise ValueError("token ids must fit in 16 bits")
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
@@ -106,17 +104,19 @@ def piece_starts(points: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Encodes Arrow text columns to 16-bit ids; remembers pieces from batch to batch."""
+    """Encodes Arrow text columns to ids of 16 bits, or 32 where the vocabulary needs them; remembers pieces from batch to batch."""
 
     def __init__(self, path: str) -> None:
         self.encoding = encoding(path)
         self.known: dict[int, tuple[int, bytes]] = {}
+        self.kind = np.dtype(np.uint16 if self.encoding.n_vocab <= 1 << 16 else np.uint32)
+        self.code = "H" if self.kind.itemsize == 2 else "I"
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of each row's; a null has none."""
         data, offsets = flat(texts)
         if not len(data):
-            return np.zeros(0, np.uint16), np.zeros(len(texts), np.int64)
+            return np.zeros(0, self.kind), np.zeros(len(texts), np.int64)
         if (data >= 0x80).any():
             points = np.frombuffer(data.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
             at_byte = np.r_[np.flatnonzero((data & 0xC0) != 0x80), len(data)]
@@ -149,12 +149,12 @@ class Encoder:
         for key, check, a, b in zip(keys, checks, from_.tolist(), to.tolist()):
             hit = known.get(key)
             if hit is None:
-                hit = known[key] = (check, array("H", encode(raw[a:b])).tobytes())
+                hit = known[key] = (check, array(self.code, encode(raw[a:b])).tobytes())
             elif hit[0] != check:
                 return self.plainly(texts)
             pieces.append(hit[1])
-        size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 2
-        ids = np.frombuffer(b"".join(pieces), np.uint16)
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // self.kind.itemsize
+        ids = np.frombuffer(b"".join(pieces), self.kind)
         each = size[inverse]
         sums = np.r_[0, np.cumsum(each)]
         per_row = np.diff(sums[np.searchsorted(starts, rows)])
@@ -163,4 +163,4 @@ class Encoder:
     def plainly(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The same without shared pieces; for the case that two hashes of pieces are equal."""
         ids = [self.encoding.encode_ordinary(t or "") for t in texts.to_pylist()]
-        return np.array([x for row in ids for x in row], np.uint16), np.array([len(row) for row in ids], np.int64)
+        return np.array([x for row in ids for x in row], self.kind), np.array([len(row) for row in ids], np.int64)
