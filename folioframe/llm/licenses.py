@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, in_sorted, lowered, ragged, steps, word_hashes, word_spans, words_of
+from .common import hash_words, id_type, in_sorted, lowered, ragged, steps, word_hashes, word_spans, words_of
 from .license_texts import TEMPLATES
 
 #: Words of each notice in the index, those with the highest inverse document frequency.
@@ -169,7 +169,7 @@ def scan(docs: DataFrame, index: Index) -> DataFrame:
             )
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id bigint, licenses array<string>, matches array<struct<license:string,notice:string,first_word:int,end_word:int,coverage:double>>"
+        run, f"doc_id {id_type(docs)}, licenses array<string>, matches array<struct<license:string,notice:string,first_word:int,end_word:int,coverage:double>>"
     )
 
 

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, steps
+from .common import flat, id_type, steps
 
 #: Labelled rows of each class that the network is trained on, at most; those with the smallest hashes of their ids.
 FIT_ROWS = 800
@@ -194,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Network | N
     chosen = [r for good in (True, False) for r in known.where(F.col("good") == good).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()]
     if len({r.good for r in chosen}) < 2:
         return None
-    small = docs.sparkSession.createDataFrame(chosen, "doc_id bigint, good boolean")
+    small = docs.sparkSession.createDataFrame(chosen, f"doc_id {id_type(labels)}, good boolean")
     found = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("length(text) > 0").join(F.broadcast(small), "doc_id")  # at most 2 * rows
     got = sorted(tuple(r) for r in found.groupBy("doc_id", "good").agg(F.min("text").alias("text")).select("doc_id", "text", "good").collect())
     if len({g for _, _, g in got}) < 2:
@@ -206,8 +206,9 @@ def classify(docs: DataFrame, net: Network | None, threshold: float = THRESHOLD)
     """``doc_id, probability, keep`` for each row.
 
     A null or empty text has probability 0 and is rejected.  Without a network
-    (no labelled rows of both classes) all other texts have probability 1.
-    Every input row gives one output row and repeated rows repeat; a null
+    (no labelled rows of both classes) all other texts have probability 1.  A
+    probability equal to ``threshold`` is kept.  An empty table gives an empty
+    result.  ``doc_id`` may have any type.  Every input row gives one output row and repeated rows repeat; a null
     ``doc_id`` stays null; texts are read whole; other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(net)
@@ -217,7 +218,7 @@ def classify(docs: DataFrame, net: Network | None, threshold: float = THRESHOLD)
             p = _scores(shared.value, batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p), pa.array(p >= threshold)], ["doc_id", "probability", "keep"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, probability double, keep boolean")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {id_type(docs)}, probability double, keep boolean")
 
 
 def _scores(net: Network | None, texts: pa.Array) -> np.ndarray:

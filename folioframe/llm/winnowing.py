@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, Powers, list_array, steps
+from .common import BASE, Powers, id_type, list_array, steps
 
 _POWERS = Powers()
 
@@ -97,33 +97,55 @@ def winnow(docs: DataFrame, k: int = 25, w: int = 40) -> DataFrame:
                 ["doc_id", "n_fingerprints", "hashes", "positions"],
             )
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, n_fingerprints int, hashes array<bigint>, positions array<int>")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {id_type(docs)}, n_fingerprints int, hashes array<bigint>, positions array<int>")
 
 
 def fingerprints(docs: DataFrame, k: int = 25, w: int = 40) -> DataFrame:
-    """``winnow`` with a row for each fingerprint: ``doc_id, position, hash``; documents without any have no row."""
+    """``winnow`` with a row for each fingerprint: ``doc_id, position, hash``; documents without any have no row.
+
+    Null, empty and short texts have none, nor has an empty table; repeated
+    rows repeat theirs; a null ``doc_id`` stays null; long texts are hashed
+    whole; other columns are not read, whatever they are called.
+    """
     pairs = winnow(docs, k, w).select("doc_id", F.explode(F.arrays_zip("positions", "hashes")).alias("f"))
     return pairs.select("doc_id", F.col("f.positions").alias("position"), F.col("f.hashes").alias("hash"))
 
 
 def fingerprints_sql(k: int = 25, w: int = 40) -> str:
-    """``fingerprints`` in DuckDB."""
-    terms = " + ".join(f"lead(c, {j}) OVER p * {pow(BASE, j, 1 << 64)}::UHUGEINT" for j in range(k))
+    """``fingerprints`` in DuckDB: hashes of 2, 4, 8, ... characters are made of two of half the length."""
     word = r"[0-9A-Za-z\x{00C0}-\x{1FFF}\x{2070}-\x{2FFF}\x{3040}-\x{10FFFF}]"
+    modulus = "18446744073709551616::UHUGEINT"
+    steps, size, total, hashed = [], 1, k & 1, "c" if k & 1 else None
+    last = "kept"
+    while size * 2 <= k:
+        half = "c" if size == 1 else f"h{size}"
+        power = pow(BASE, size, 1 << 64)
+        steps.append(f"s{2 * size} AS (SELECT *, ({half} + lead({half}, {size}) OVER p * {power}::UHUGEINT) % {modulus} AS h{2 * size} FROM {last} WINDOW p AS (PARTITION BY doc_id ORDER BY pos))")
+        size, last = size * 2, f"s{2 * size}"
+        if k & size:
+            if hashed is None:
+                hashed, total = f"h{size}", size
+            else:
+                power = pow(BASE, total, 1 << 64)
+                steps.append(f"t{size} AS (SELECT *, ({hashed} + lead(h{size}, {total}) OVER p * {power}::UHUGEINT) % {modulus} AS g{size} FROM {last} WINDOW p AS (PARTITION BY doc_id ORDER BY pos))")
+                hashed, total, last = f"g{size}", total + size, f"t{size}"
+    place = 1 << 40
     return f"""
 WITH chars AS (
   SELECT doc_id, unnest(string_split(lower(text), '')) AS ch, generate_subscripts(string_split(lower(text), ''), 1) - 1 AS pos
   FROM documents WHERE text IS NOT NULL AND text <> ''),
-kept AS (SELECT doc_id, pos, unicode(ch)::UHUGEINT AS c FROM chars WHERE regexp_full_match(ch, '{word}')),
-grams AS (
-  SELECT doc_id, pos, row_number() OVER p AS i, count(*) OVER (PARTITION BY doc_id) AS n, ({terms}) % 18446744073709551616::UHUGEINT AS h
-  FROM kept WINDOW p AS (PARTITION BY doc_id ORDER BY pos)),
-full_grams AS (SELECT doc_id, pos, i, n - {k - 1} AS m, h FROM grams WHERE h IS NOT NULL),
+kept AS (
+  SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i, unicode(ch)::UHUGEINT AS c
+  FROM chars WHERE regexp_full_match(ch, '{word}')),
+{",".join(chr(10) + x for x in steps).lstrip()},
+full_grams AS (
+  SELECT doc_id, pos, i, {hashed} AS h, count(*) OVER (PARTITION BY doc_id) AS m,
+    {hashed} * {place}::UHUGEINT + ({place - 1} - i)::UHUGEINT AS v
+  FROM {last} WHERE {hashed} IS NOT NULL),
 windows AS (
-  SELECT doc_id, i, m, arg_min(pos, (h, -i)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {w - 1} FOLLOWING) AS picked
+  SELECT doc_id, i, m, min(v) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {w - 1} FOLLOWING) AS least
   FROM full_grams),
-chosen AS (SELECT DISTINCT doc_id, picked FROM windows WHERE i <= greatest(m - {w - 1}, 1)),
-found AS (
-  SELECT g.doc_id, g.pos, CASE WHEN g.h >= 9223372036854775808::UHUGEINT THEN (g.h::HUGEINT - 18446744073709551616::HUGEINT)::BIGINT ELSE g.h::BIGINT END AS h
-  FROM full_grams g JOIN chosen c ON g.doc_id = c.doc_id AND g.pos = c.picked)
-SELECT doc_id, pos::INTEGER AS position, h AS hash FROM found"""
+chosen AS (SELECT DISTINCT doc_id, least FROM windows WHERE i <= greatest(m - {w - 1}, 1))
+SELECT g.doc_id, g.pos::INTEGER AS position,
+  CASE WHEN g.h >= 9223372036854775808::UHUGEINT THEN (g.h::HUGEINT - 18446744073709551616::HUGEINT)::BIGINT ELSE g.h::BIGINT END AS hash
+FROM full_grams g JOIN chosen c ON g.doc_id = c.doc_id AND g.v = c.least"""

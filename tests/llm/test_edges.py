@@ -144,8 +144,14 @@ def test_decontamination(messy, none, clashing, bench, spark):
     assert rows[4].action == "trim" and rows[4].n_removed >= 30 and rows[6].action == "keep" and rows[1].text is None and rows[2].text == ""
     same = decontamination.decontaminate(messy, bench, broadcast_grams=0)
     assert sorted(map(tuple, same.collect()), key=repr) == sorted(map(tuple, out.collect()), key=repr)
-    short = spark.createDataFrame([(1, "a Tiny, ITEM here and some more words"), (2, "tiny item")], "doc_id bigint, text string")
-    assert {tuple(r)[:2] + (r.text,) for r in decontamination.decontaminate(short, bench).collect()} == {(1, "trim", "a  here and some more words"), (2, "drop", None)}
+    short = spark.createDataFrame([(1, "a Tiny, ITEM here and some more words"), (2, "tiny  item!"), (3, "one of FIVE small, words")], "doc_id bigint, text string")
+    items = bench.unionByName(spark.createDataFrame([(5, "of five small words"), (6, "one of five small words")], bench.schema))
+    for limit in (0, 1000):
+        got = {tuple(r)[:2] + (r.text,) for r in decontamination.decontaminate(short, items, broadcast_grams=limit).collect()}
+        assert got == {(1, "keep", "a Tiny, ITEM here and some more words"), (2, "drop", None), (3, "drop", None)}
+    common = spark.createDataFrame([(1, "Yes"), (2, "The")], "item_id bigint, text string")
+    plain = spark.createDataFrame([(1, "the cat said yes to the other cat"), (2, "Yes.")], "doc_id bigint, text string")
+    assert {(r.doc_id, r.action) for r in decontamination.decontaminate(plain, common).collect()} == {(1, "keep"), (2, "drop")}
     for limit in (0, 1000):
         kept = decontamination.decontaminate_documents(clashing, bench, broadcast_grams=limit)
         assert kept.columns == clashing.columns and ids(kept) == ALL
@@ -205,10 +211,77 @@ def test_line_dedup(messy, none, spark):
     assert {r.n_dropped for r in linededup.drop_boilerplate(site, ratio=1.0).collect()} == {0}
 
 
-def test_line_dedup_on_hosts_of_every_size(spark, duck):
+def test_line_dedup_on_hosts_of_every_size(spark):
     # line k is on the first k pages of its host
     sizes = range(1, 51)
     rows = [(100 * n + i, "\n".join(f"line {k}" for k in range(1, n + 1) if i < k), f"host {n}") for n in sizes for i in range(n)]
     out = linededup.drop_boilerplate(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).where("doc_id % 100 = 0").collect()
     assert {r.doc_id // 100: r.n_dropped for r in out} == {n: sum(k >= 2 and 20 * k > n for k in range(1, n + 1)) for n in sizes}
-    check_same(linededup.drop_boilerplate(spark.read.parquet(str(DATA / "documents.parquet"))), duck, linededup.drop_boilerplate_sql(min_pages=2))
+
+
+def test_line_ends(spark):
+    site = spark.createDataFrame([(i, f"menu{end}\nown {i}") for i, end in enumerate(["", "\r", " \t", "\r"])], "doc_id bigint, text string").selectExpr("*", "'s' AS source")
+    assert {r.n_dropped for r in linededup.drop_boilerplate(site).collect()} == {1}
+
+
+@pytest.mark.parametrize("kind", ["int", "string", "smallint"])
+def test_ids_of_any_type(clashing, bench, spark, kind):
+    """Every operator passes the identifier on with its own type, also beside columns of clashing names."""
+    table = clashing.withColumn("doc_id", clashing.doc_id.cast(kind))
+    labels = spark.createDataFrame([(4, 1), (6, 0)], "doc_id bigint, quality int").selectExpr(f"cast(doc_id as {kind}) AS doc_id", "quality")
+    net = quality.fit(table, labels)
+    results = [
+        licenses.scan_documents(table), winnowing.winnow(table), winnowing.fingerprints(table), quality.classify(table, net), quality.good_documents(table, net),
+        langid.identify_documents(table), simhash.group_documents(table), simhash.one_of_each(table), mixing.mix(table), mixing.mix_documents(table),
+        decontamination.decontaminate(table, bench), decontamination.decontaminate(table, bench, broadcast_grams=0), decontamination.decontaminate_documents(table, bench), linededup.drop_boilerplate(table),
+    ]
+    assert net is not None
+    for out in results:
+        assert dict(out.dtypes)["doc_id"] == kind and out.count() > 0
+    shards = sstable.token_shards(table, shard_bytes=1 << 12)
+    entries = [i for s in shards.orderBy("shard").collect() for i, _ in sstable.Shard(bytes(s.data), True)]
+    want = [str(i) if kind == "string" and i is not None else i for i in ALL]
+    assert entries == sorted(want, key=lambda x: (x is not None, x if x is not None else want[0]))
+    assert sstable.lookup(shards, [want[3], want[7]]).count() == 3
+
+
+def test_revisit_headers(spark):
+    schema = "record_id bigint, url string, kind string, at bigint, headers map<string,string>, body string, stored string, carried string, slot string"
+    rows = [
+        (1, "http://a.com/A", "response", 10, {"ETag": '"1"', "Server": "s", "Date": "old"}, "one", "", "", ""),
+        (2, "http://a.com/a", "response", 20, {"ETag": '"2"'}, "x" * 300_000, "", "", ""),
+        (3, "http://a.com/A", "revisit", 90_000, {"etag": '"1"', "DATE": "new", "server": "other"}, None, "", "", ""),
+        (4, "http://a.com:80/a?", "revisit", 90_000, {"ETAG": 'W/"2"'}, None, "", "", ""),
+    ]
+    out = {r.record_id: r for r in revisits.resolve_revisits(spark.createDataFrame(rows, schema)).collect()}
+    assert (out[3].status, out[3].source_id, out[3].body) == ("resolved", 1, "one") and out[3].headers == {"etag": '"1"', "server": "s", "date": "new"}
+    assert (out[4].status, out[4].source_id, len(out[4].body)) == ("resolved", 2, 300_000)
+
+
+def test_pipeline_on_messy_and_empty_tables(messy, none, spark, tmp_path):
+    import corpus_pipeline
+
+    bench = spark.createDataFrame([(1, " ".join(WORDS.split()[40:70])), (2, None)], "item_id bigint, text string")
+    labels = spark.createDataFrame([(4, 1, 0), (6, 0, 0), (None, 1, 0)], "doc_id bigint, quality int, toxic int")
+    for name, docs in (("messy", messy), ("empty", none)):
+        folder = str(tmp_path / name)
+        for table, rows in (("documents", docs), ("benchmark", bench), ("labels", labels)):
+            rows.write.parquet(f"{folder}/{table}.parquet")
+        out = corpus_pipeline.run(spark, folder)
+        entries = [i for s in out.collect() for i, _ in sstable.Shard(bytes(s.data), True)]
+        assert set(entries) <= set(ALL) and (entries == []) == (name == "empty")
+
+
+def test_shared_folder_is_needed_on_a_cluster():
+    from types import SimpleNamespace as Stub
+
+    from folioframe.llm.common import shared_dir
+
+    def session(master, folder=None):
+        return Stub(conf=Stub(get=lambda key, default: folder), sparkContext=Stub(master=master))
+
+    assert shared_dir(session("yarn", "hdfs:///shared/")) == "hdfs:///shared"
+    assert shared_dir(session("local[4]")).endswith("folioframe-shared")
+    for master in ("yarn", "local-cluster[3,2,1000]", "spark://host:7077"):
+        with pytest.raises(ValueError):
+            shared_dir(session(master))

@@ -1,13 +1,15 @@
 """Results against SQL, brute force, exact round trips and held-out accuracy."""
 
 import random
+import re
+from collections import Counter
 
 import corpus_pipeline
 import numpy as np
 import pyarrow as pa
 import pytest
 from conftest import DATA, check_same
-from folioframe.llm import decontamination, langid, licenses, quality, queries, simhash, sstable, tokens, winnowing
+from folioframe.llm import decontamination, langid, licenses, quality, queries, revisits, simhash, sstable, tokens, winnowing
 from folioframe.llm.common import words_of
 from folioframe.llm.license_texts import TEMPLATES
 from hypothesis import given, settings
@@ -117,12 +119,132 @@ def test_languages(spark):
     assert np.mean([r.language == r.lang for r in rows]) > 0.97
     # masks hold every member, and the correction takes false positives out again
     for bit, language in enumerate(filters.languages):
-        assert ((filters.masks(filters.grams[language]) >> bit) & 1).all()
+        assert ((filters.masks(filters.grams[language])[0] >> bit) & 1).all()
     strange = np.random.default_rng(1).integers(1 << 50, 1 << 55, 200_000).astype(np.uint64)
-    rates = np.array([((filters.masks(strange) >> b) & 1).mean() for b in range(len(filters.languages))])
+    rates = np.array([((filters.masks(strange)[0] >> b) & 1).mean() for b in range(len(filters.languages))])
     assert np.abs(rates - filters.false_rates).max() < 5e-4
 
 
+def naive_fold(text):
+    """A space, then the text's letters in lower case with a space for each run of others."""
+    return re.sub(rb"[^a-z'\x80-\xff]+", b" ", b" " + text.lower().encode())
+
+
+def naive_grams(data):
+    """The n-grams of folded text by size."""
+    return {size: [data[i : i + size] for i in range(len(data) - size + 1)] for size in langid.SIZES}
+
+
+@pytest.mark.parametrize("languages", [4, 70])
+def test_language_counts_by_brute_force(spark, docs, languages):
+    """Counts, shares and choice of whole rows against plain sets of n-grams."""
+    rows = docs.select("doc_id", "text", "lang").where("n_chars < 4000").limit(150).collect()
+    texts = {}
+    for r in rows:
+        texts.setdefault(r.lang if languages == 4 else f"l{r.doc_id % languages:02}", []).append(r.text)
+    filters = langid.build_filters({k: sorted(v) for k, v in texts.items()})
+    assert len(filters.tables) == (len(texts) + 63) // 64
+    members = {}
+    for language, some in texts.items():
+        for size in langid.SIZES:
+            grams = naive_grams(b"".join(map(naive_fold, sorted(some))) + b" ")[size]
+            counts = Counter(grams)
+            least = max(2.0, langid.MIN_RATE * len(grams) / 1e6)
+            members[language] = members.get(language, set()) | {g for g, n in counts.items() if n >= least}
+    got = {r.doc_id: r for r in langid.identify(docs.where("n_chars < 4000").limit(150), filters).collect()}
+    for r in rows[:40]:
+        grams = [g for by in naive_grams(naive_fold(r.text)).values() for g in by]
+        shares = {}
+        for language in filters.languages:
+            code = np.array([int.from_bytes(g, "big") | len(g) << 56 for g in grams], np.uint64)
+            at = filters.languages.index(language)
+            bits = (filters.masks(code)[at // 64] >> np.asarray(at % 64, filters.tables[at // 64].dtype)) & 1
+            assert all(bit for bit, g in zip(bits, grams) if g in members[language])
+            rate = filters.false_rates[at]
+            shares[language] = min(1, max(0, (int(bits.sum()) - len(grams) * rate) / (len(grams) * (1 - rate))))
+            true = sum(g in members[language] for g in grams)
+            assert abs(int(bits.sum()) - true) <= 5 + 3 * len(grams) * rate
+        best = max(shares, key=lambda x: (shares[x], [-ord(c) for c in x]))
+        assert got[r.doc_id].n_grams == len(grams) and got[r.doc_id].share == pytest.approx(shares[best])
+        assert got[r.doc_id].language == (best if shares[best] >= langid.MIN_SHARE else "und")
+
+
+def test_language_sample_is_bounded(spark):
+    """Repeats count once, and the bound holds exactly."""
+    rows = [(i, f"text {i % 3}" if i < 3000 else f"other text {i}", "xx") for i in range(4000)] + [(5000, "one", "yy"), (5001, "one", "yy")]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = [r.text for r in langid.sample(table, 600).where("lang = 'xx'").collect()]
+    assert len(got) == len(set(got)) == 600
+    assert langid.sample(table, 600).where("lang = 'yy'").count() == 1
+
+
+def test_revisits_by_brute_force(spark):
+    """The as-of join over hot URLs with many slots, against a loop over all earlier responses."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(900):
+        kind = rng.choice(["response", "revisit"])
+        tag = f'"{rng.randrange(3)}"'
+        rows.append((i, f"http://{rng.choice(['a.com', 'b.org'])}/{rng.choice('xY')}", kind, rng.randrange(0, 60_000, 50), {"ETag": tag, "Server": str(i)}, f"body {i}" if kind == "response" else None))
+    log = spark.createDataFrame(rows, "record_id bigint, url string, kind string, at bigint, headers map<string,string>, body string")
+    want = {}
+    for i, url, kind, at, headers, _ in rows:
+        if kind == "revisit":
+            earlier = [r for r in rows if r[2] == "response" and r[1] == url and r[3] < at]
+            last = max(earlier, key=lambda r: (r[3], r[0]), default=None)
+            same = last and last[4]["ETag"] == headers["ETag"]
+            want[i] = ("no-earlier-response" if last is None else "resolved" if same else "etag-mismatch", last[0] if same else None, last[5] if same else None)
+    got = {r.record_id: (r.status, r.source_id, r.body) for r in revisits.resolve_revisits(log).collect()}
+    assert got == want and {s for s, _, _ in want.values()} == {"resolved", "etag-mismatch", "no-earlier-response"}
+
+
+def test_canonical_urls(spark, duck):
+    same = [
+        ["http://a.com/X", "https://A.com:443/X", "HTTP://www.a.COM:80/X/", "http://a.com/X#top", "http://a.com/X?utm_source=q", " http://a.com/X? "],
+        ["http://a.com/x"], ["http://m.a.com/X"], ["http://a.com:8080/X"], ["http://a.com", "http://a.com/", "a.com"],
+        ["http://a.com/X?b=2&a=1", "http://a.com/X?a=1&utm_medium=x&b=2", "http://a.com/X/?a=1&&b=2"], ["http://a.com/X?ref=1"], ["http://a.com/X?A=1&b=2"],
+    ]
+    rows = [(i, url) for i, urls in enumerate(same) for url in urls]
+    table = spark.createDataFrame(rows, "i int, url string")
+    got = {}
+    for r in table.select("i", "url", revisits.canonical_url(table.url).alias("c")).collect():
+        got.setdefault(r.c, set()).add(r.i)
+        assert duck.execute(f"SELECT {revisits.canonical_sql('u')} FROM (SELECT ? AS u)", [r.url]).fetchone()[0] == r.c
+    assert sorted(map(sorted, got.values())) == [[i] for i in range(len(same))]
+
+
+def test_shards_as_files(spark, docs, tmp_path):
+    """A lookup reads footer, filter, index and one block, and no more."""
+    shards = sstable.token_shards(docs, shard_bytes=1 << 18)
+    files = sstable.write_shards(shards, str(tmp_path / "out"))
+    rows = files.collect()
+    assert len(rows) > 1 and sum(r.n_entries for r in rows) == docs.count()
+    encoding = tokens.encoding(tokens.default_vocabulary())
+    texts = {r.doc_id: r.text for r in docs.where("n_chars < 2000").limit(5).collect()}
+    found = sstable.lookup(files, list(texts) + [10**9]).collect()
+    assert {r.doc_id: encoding.decode(r.ids) for r in found} == texts
+    row = max(rows, key=lambda r: r.n_bytes)
+    shard = sstable.ShardFile(row.path)
+    opened = shard.bytes_read
+    assert opened < row.n_bytes / 10
+    shard.get(row.last_id)
+    assert shard.bytes_read - opened == shard.offsets[-1] - shard.offsets[-2]
+    before = shard.bytes_read
+    assert shard.get(10**9) == [] and shard.bytes_read == before
+
+
+def test_wide_token_ids(spark, tmp_path):
+    import base64
+
+    path = tmp_path / "wide.tiktoken"
+    lines = [(bytes([i]), i) for i in range(256)] + [(b"ab", 70_000), (b" ab", 70_001), (b" a", 300)]
+    path.write_text("\n".join(f"{base64.b64encode(t).decode()} {i}" for t, i in lines))
+    table = spark.createDataFrame([(1, "ab ab x"), (2, "")], "doc_id int, text string")
+    (row,) = sstable.token_shards(table, str(path)).collect()
+    assert [(i, ids.tolist()) for i, ids in sstable.Shard(bytes(row.data))] == [(1, [70_000, 70_001, 32, 120]), (2, [])]
+    assert row.n_tokens == 4
+
+
 def naive_simhash(text):
     """SimHash and features of a text, by the definition and with a feature at a time."""
     data, offsets = simhash.lowered(pa.array([text]))
@@ -290,7 +412,7 @@ def test_pipeline_stages(spark, duck):
     group = {r.doc_id: r.group_id for r in simhash.group_documents(results[1][0]).collect()}
     assert rows[2] == [r for r in rows[1] if group[r[0]] == r[0]] and len(rows[2]) < len(rows[1])
     grams = decontamination.GramSet([t for (t,) in duck.execute("SELECT text FROM benchmark").fetchall()], decontamination.N)
-    flat = {g for by in grams.words[decontamination.N].values() for g in by}
+    flat = {g.decode() for g in grams.grams(decontamination.N)}
     has = lambda text: any(" ".join(w[i : i + 8]) in flat for w in [words_of(text)] for i in range(len(w) - 7))
     clean = {r[0]: r for r in rows[3]}
     assert all(clean[r[0]] == r for r in rows[2] if not has(r[1])) and not any(has(r[1]) for r in rows[3])
