@@ -1,10 +1,12 @@
 """Licence scan with a positional rare-token index.
 
-The index holds, of each licence notice, the words that are rarest in the
-corpus, with their positions in the notice.  A file's words are looked up in
-it; every occurrence says where the notice would start in the file, and places
-on which enough different words agree are candidates.  A candidate counts when
-all the notice's key phrases stand there, word for word.
+The index holds every word of the licence notices with its inverse document
+frequency in the corpus and its positions in each notice.  Of a file that has
+all words of a notice's key phrases, the words of the notice with the highest
+IDF that the file has are looked up; every occurrence says where the notice
+would start in the file, and places on which enough different words agree are
+candidates.  A candidate counts when all the notice's key phrases stand there,
+word for word.
 """
 
 from __future__ import annotations
@@ -21,9 +23,9 @@ from pyspark.sql import functions as F
 from .common import hash_words, id_type, in_sorted, lowered, ragged, steps, word_hashes, word_spans, words_of
 from .license_texts import TEMPLATES
 
-#: Words of each notice in the index, those with the highest inverse document frequency.
+#: Words of a file that are looked up for a notice: of those that both have the ones with the highest inverse document frequency.
 RARE = 6
-#: Share of a notice's index words that must agree on a place.
+#: Share of so many words that must agree on a place.
 AGREE = 0.5
 #: Words by which places may differ and still agree, for words put in or left out.
 SLACK = 6
@@ -36,10 +38,11 @@ class Index:
     words: list[list[str]]
     phrases: list[list[list[str]]]
     needed: np.ndarray  # different words that must agree, by notice
-    hashes: np.ndarray  # of the index words, sorted
-    first: np.ndarray  # each word's first posting, and the end
-    notice: np.ndarray  # of each posting
-    place: np.ndarray
+    hashes: np.ndarray  # of the words of all notices, sorted
+    ranked: list[np.ndarray]  # by notice: its words as places in ``hashes``, from the highest IDF down
+    keys: list[np.ndarray]  # by notice: the words of its key phrases
+    first: list[np.ndarray]  # by notice: each word's first posting, and the end
+    place: list[np.ndarray]  # by notice: the positions of the postings
 
 
 def vocabulary(templates=TEMPLATES) -> list[str]:
@@ -71,25 +74,25 @@ def document_frequencies(docs: DataFrame, words: list[str]) -> tuple[dict[str, i
 
 
 def build_index(frequencies: dict[str, int], n_docs: int, templates=TEMPLATES, rare: int = RARE, agree: float = AGREE) -> Index:
-    names, licences, texts, phrases, needed = [], [], [], [], []
-    postings: dict[str, list[tuple[int, int]]] = {}
+    known = vocabulary(templates)
+    hashes = hash_words(known)
+    order = np.argsort(hashes)
+    at = {known[i]: k for k, i in enumerate(order.tolist())}
+    index = Index([], [], [], [], np.zeros(len(templates), np.int64), hashes[order], [], [], [], [])
     for t, (name, licence, text, keys) in enumerate(templates):
-        words = words_of(text)
+        words, phrases = words_of(text), [words_of(k) for k in keys]
         idf = {w: math.log((n_docs + 1) / (frequencies.get(w, 0) + 1)) for w in words}
-        chosen = sorted(idf, key=lambda w: (-idf[w], words.index(w)))[:rare]
-        for w in chosen:
-            postings.setdefault(w, []).extend((t, i) for i, x in enumerate(words) if x == w)
-        names.append(name)
-        licences.append(licence)
-        texts.append(words)
-        phrases.append([words_of(k) for k in keys])
-        needed.append(max(1, math.ceil(agree * len(chosen))))
-    words = list(postings)
-    hashes = hash_words(words)
-    order = np.argsort(hashes)
-    lists = [postings[words[i]] for i in order]
-    flat = [p for x in lists for p in x]
-    return Index(names, licences, texts, phrases, np.array(needed), hashes[order], np.r_[0, np.cumsum([len(x) for x in lists])].astype(np.int64), np.array([t for t, _ in flat]), np.array([i for _, i in flat]))
+        ids = np.array([at[w] for w in words])
+        index.names.append(name)
+        index.licences.append(licence)
+        index.words.append(words)
+        index.phrases.append(phrases)
+        index.needed[t] = max(1, math.ceil(agree * min(rare, len(idf))))
+        index.ranked.append(np.array([at[w] for w in sorted(idf, key=lambda w: (-idf[w], words.index(w)))]))
+        index.keys.append(np.unique([at[w] for p in phrases for w in p]))
+        index.first.append(np.searchsorted(np.sort(ids), np.arange(len(known) + 1)))
+        index.place.append(np.argsort(ids, kind="stable"))
+    return index
 
 
 def _find(words: list[str], phrase: list[str]) -> int:
@@ -97,39 +100,42 @@ def _find(words: list[str], phrase: list[str]) -> int:
     return next((i for i in range(len(words) - n + 1) if words[i : i + n] == phrase), -1)
 
 
-def matches(index: Index, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, firsts: np.ndarray, slack: int = SLACK) -> list[tuple[int, int, int, int, float]]:
+def matches(index: Index, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, firsts: np.ndarray, rare: int = RARE, slack: int = SLACK) -> list[tuple[int, int, int, int, float]]:
     """(row, notice, first word, end, coverage) of each verified place in a buffer that is in lower case."""
     hit, at = in_sorted(word_hashes(data, starts, ends), index.hashes)
     place = np.flatnonzero(hit)
     if not len(place):
         return []
-    word = at[place]
-    each = index.first[word + 1] - index.first[word]
-    posting = ragged(index.first[word], each)
-    row = np.repeat(np.searchsorted(firsts, place, side="right") - 1, each)
-    word, notice = np.repeat(word, each), index.notice[posting]
-    start = np.repeat(place, each) - index.place[posting]
-    order = np.lexsort((start, notice, row))
-    row, notice, start, word = row[order], notice[order], start[order], word[order]
-    # places that follow each other within the slack are one candidate
-    cut = np.flatnonzero((np.diff(row) != 0) | (np.diff(notice) != 0) | (np.diff(start) > slack)) + 1
+    word, row = at[place], np.searchsorted(firsts, place, side="right") - 1
+    has = np.zeros((len(firsts) - 1, len(index.hashes)), bool)
+    has[row, word] = True
     found = []
-    raw = data
-    for a, b in zip(np.r_[0, cut].tolist(), np.r_[cut, len(row)].tolist()):
-        t, r = int(notice[a]), int(row[a])
-        if b - a < index.needed[t] or len(set(word[a:b].tolist())) < index.needed[t]:
-            continue
-        low = max(int(firsts[r]), int(start[a]) - slack)
-        high = min(int(firsts[r + 1]), int(start[b - 1]) + len(index.words[t]) + slack)
-        said = [raw[starts[i] : ends[i]].tobytes().decode("utf-8", "surrogatepass") for i in range(low, high)]
-        if all(_find(said, p) >= 0 for p in index.phrases[t]):
-            # the place that most words agree on
-            values, votes = np.unique(start[a:b], return_counts=True)
-            best = int(values[votes.argmax()])
-            mine = index.words[t]
-            same = sum(low <= best + i < high and said[best + i - low] == w for i, w in enumerate(mine))
-            first = max(best, int(firsts[r]))
-            found.append((r, t, first - int(firsts[r]), min(best + len(mine), int(firsts[r + 1])) - int(firsts[r]), same / len(mine)))
+    for t, mine in enumerate(index.words):
+        for r in np.flatnonzero(has[:, index.keys[t]].all(1)).tolist():
+            ranked = index.ranked[t]
+            chosen = ranked[has[r, ranked]][:rare]
+            a, b = np.searchsorted(row, [r, r + 1])
+            own = np.flatnonzero(np.isin(word[a:b], chosen)) + a
+            each = index.first[t][word[own] + 1] - index.first[t][word[own]]
+            posting = index.place[t][ragged(index.first[t][word[own]], each)]
+            start, said_word = np.repeat(place[own], each) - posting, np.repeat(word[own], each)
+            order = np.argsort(start, kind="stable")
+            start, said_word = start[order], said_word[order]
+            # places that follow each other within the slack are one candidate
+            cut = np.flatnonzero(np.diff(start) > slack) + 1
+            for x, y in zip(np.r_[0, cut].tolist(), np.r_[cut, len(start)].tolist()):
+                if y - x < index.needed[t] or len(set(said_word[x:y].tolist())) < index.needed[t]:
+                    continue
+                low = max(int(firsts[r]), int(start[x]) - slack)
+                high = min(int(firsts[r + 1]), int(start[y - 1]) + len(mine) + slack)
+                said = [data[starts[i] : ends[i]].tobytes().decode("utf-8", "surrogatepass") for i in range(low, high)]
+                if all(_find(said, p) >= 0 for p in index.phrases[t]):
+                    # the place that most words agree on
+                    values, votes = np.unique(start[x:y], return_counts=True)
+                    best = int(values[votes.argmax()])
+                    same = sum(low <= best + i < high and said[best + i - low] == w for i, w in enumerate(mine))
+                    first = max(best, int(firsts[r])) - int(firsts[r])
+                    found.append((r, t, first, min(best + len(mine), int(firsts[r + 1])) - int(firsts[r]), same / len(mine)))
     return found
 
 
@@ -152,10 +158,12 @@ def scan(docs: DataFrame, index: Index) -> DataFrame:
 
     ``licenses`` are the different names in order; a match says which notice
     was found, at which words of the text, and the share of its words that are
-    in place.  A notice that stands there several times gives several matches.
-    Every input row gives one output row, repeated rows too.  A null or empty
-    text has no matches; a null ``doc_id`` stays null; whole texts are scanned;
-    other columns are not read.  Only the index is broadcast; its size is that
+    in place.  A notice that stands there several times gives several matches;
+    of matches of one licence that overlap the one with most words in place
+    counts, and of equal ones the first in the text.  Every input row gives one
+    output row, repeated rows too.  A null or empty text has no matches; a null
+    ``doc_id`` stays null, and it may have any type; an empty table gives an
+    empty result; whole texts are scanned; other columns are not read.  Only the index is broadcast; its size is that
     of the notices.
     """
     shared = docs.sparkSession.sparkContext.broadcast(index)

@@ -44,31 +44,35 @@ def test_winnowing_guarantee(shared, before, after):
     assert a & b
 
 
-def naive_licences(text, index):
-    """Every notice at every place of the text, without the index."""
+def naive_licences(text, frequencies, n):
+    """(licence, notice, first word, end, coverage) of every notice at every place of the text, without the index."""
     words = words_of(text)
-    rare = {h: i for i, h in enumerate(index.hashes.tolist())}
-    from folioframe.llm.common import hash_words
-
-    found = set()
-    hashes = hash_words(words).tolist()
-    for t, notice in enumerate(index.words):
-        mine = {i: h for i, h in enumerate(hash_words(notice).tolist()) if h in rare and t in index.notice[index.first[rare[h]] : index.first[rare[h] + 1]]}
-        votes = {}
-        for start in range(-len(notice), len(words)):
-            got = {h for i, h in mine.items() if 0 <= start + i < len(words) and hashes[start + i] == h}
-            if got:
-                votes[start] = got
-        group = []
-        for start in sorted(votes) + [10**9]:
-            if group and start - group[-1] > licenses.SLACK:
-                if len(set().union(*(votes[s] for s in group))) >= index.needed[t]:
-                    said = words[max(0, group[0] - licenses.SLACK) : max(0, group[-1] + len(notice) + licenses.SLACK)]
-                    if all(any(said[i : i + len(p)] == p for i in range(len(said))) for p in index.phrases[t]):
-                        found.add(index.licences[t])
-                group = []
-            group.append(start)
-    return sorted(found)
+    found = []
+    for name, licence, notice, keys in TEMPLATES:
+        mine = words_of(notice)
+        idf = {w: np.log((n + 1) / (frequencies[w] + 1)) for w in mine}
+        chosen = sorted(set(mine) & set(words), key=lambda w: (-idf[w], mine.index(w)))[: licenses.RARE]
+        needed = max(1, int(np.ceil(licenses.AGREE * min(licenses.RARE, len(idf)))))
+        votes = sorted((i - j, w) for w in chosen for i, x in enumerate(words) if x == w for j, y in enumerate(mine) if y == w)
+        groups = []
+        for start, w in votes:
+            if groups and start - groups[-1][-1][0] <= licenses.SLACK:
+                groups[-1].append((start, w))
+            else:
+                groups.append([(start, w)])
+        for group in groups:
+            said = words[max(0, group[0][0] - licenses.SLACK) : max(0, group[-1][0] + len(mine) + licenses.SLACK)]
+            there = all(any(said[i : i + len(p)] == p for i in range(len(said))) for p in map(words_of, keys))
+            if there and len({w for _, w in group}) >= needed:
+                starts = [s for s, _ in group]
+                best = max(sorted(set(starts)), key=starts.count)
+                same = sum(0 <= best + i < len(words) and words[best + i] == w for i, w in enumerate(mine))
+                found.append((licence, name, max(0, best), min(best + len(mine), len(words)), same / len(mine), same))
+    kept = []
+    for m in sorted(found, key=lambda m: (-m[5], m[2], [t[0] for t in TEMPLATES].index(m[1]))):
+        if not any(k[0] == m[0] and k[2] < m[3] and m[2] < k[3] for k in kept):
+            kept.append(m[:5])
+    return sorted(kept, key=lambda m: (m[2], m[0]))
 
 
 def test_licences_by_brute_force(spark, docs, duck):
@@ -82,9 +86,9 @@ def test_licences_by_brute_force(spark, docs, duck):
         texts += [f"# {text}\n* code", " ".join(words[:drop] + words[drop + 1 :]), " ".join(words[: len(words) // 2]), " ".join(rng.sample(words, len(words)))]
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     index = licenses.build_index(frequencies, n)
-    got = {r.doc_id: r.licenses for r in licenses.scan(table, index).collect()}
-    assert got == {i: naive_licences(t, index) for i, t in enumerate(texts)}
-    assert all(licence in got[60 + 4 * i] for i, (_, licence, _, _) in enumerate(TEMPLATES))
+    got = {r.doc_id: [tuple(m) for m in r.matches] for r in licenses.scan(table, index).collect()}
+    assert got == {i: naive_licences(t, frequencies, n) for i, t in enumerate(texts)}
+    assert all(licence in {m[0] for m in got[60 + 4 * i]} for i, (_, licence, _, _) in enumerate(TEMPLATES))
 
 
 def test_quality_held_out(spark):
