@@ -140,23 +140,42 @@ def line_tables(lines: DataFrame) -> DataFrame:
 
 
 def density_histogram(spans: DataFrame, bins: int = 100) -> DataFrame:
-    """How many spans of a document cover each of the equal bins of the page height."""
-    top = F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor(F.col("y0") * bins / F.col("height"))))
-    bottom = F.least(F.lit(bins - 1), F.greatest(top, F.floor(F.col("y1") * bins / F.col("height"))))
-    return spans.select("doc", F.explode(F.sequence(top, bottom)).alias("bin")).groupBy("doc", "bin").agg(F.count(F.lit(1)).alias("n_spans"))
-
-
-def page_regions(spans: DataFrame, bins: int = 100) -> DataFrame:
-    """Header and footer edges of each document from its histogram.
-
-    The header ends with the last dense bin (0.5 of the mean) of the upper 15 %
-    and the footer begins with the first of the lower 15 %; the body is between.
+    """How many spans of a document are in each of the equal bins of its first page's height; a span's end is exclusive."""
+    height = spans.groupBy("doc").agg(F.min_by("height", "page_index").alias("page_height"))
+    inside = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(c) / F.col("page_height")))
+    placed = spans.join(height, "doc").select("doc", F.floor(inside("y0") * bins).alias("first"), F.ceil(inside("y1") * bins).alias("end"))
+    covered = placed.where(F.col("first") < F.col("end")).select("doc", F.explode(F.sequence("first", F.col("end") - 1)).alias("bin"))
+    return covered.groupBy("doc", "bin").agg(F.count(F.lit(1)).alias("n_spans"))
+
+
+def page_regions(spans: DataFrame, bins: int = 100, top: int = 12, bottom: int = 88) -> DataFrame:
+    """Header, body and footer of each document, as shares of the page height.
+
+    Of the bins above ``top`` those with more than 0.3 of their mean begin the
+    header and those with more than 0.5 end it; of the bins from ``bottom`` on
+    those with more than 0.5 begin the footer and those with more than 0.3 end
+    it.  Without such bins the zone's own ends count.  A header that reaches
+    into the footer ends above it, and the body lies between, inside
+    ``top`` and ``bottom``.
     """
     hist = density_histogram(spans, bins)
-    mean = hist.groupBy("doc").agg((F.sum("n_spans") / F.lit(float(bins))).alias("mean"))
-    dense = hist.join(mean, "doc").where(F.col("n_spans") >= 0.5 * F.col("mean"))
-    edges = dense.groupBy("doc").agg(F.max(F.when(F.col("bin") < 15, F.col("bin"))).alias("h"), F.min(F.when(F.col("bin") >= 85, F.col("bin"))).alias("f"))
-    return edges.select("doc", (F.coalesce(F.col("h") + 1, F.lit(0)) / F.lit(float(bins))).alias("header_end"), (F.coalesce(F.col("f"), F.lit(bins)) / F.lit(float(bins))).alias("footer_start"))
+    zones = hist.groupBy("doc").agg(
+        (F.sum(F.when(F.col("bin") < top, F.col("n_spans"))) / float(top)).alias("head"), (F.sum(F.when(F.col("bin") >= bottom, F.col("n_spans"))) / float(bins - bottom)).alias("foot")
+    )
+    joined = hist.join(zones, "doc")
+    in_head = lambda share: (F.col("bin") < top) & (F.col("n_spans") > F.col("head") * share)
+    in_foot = lambda share: (F.col("bin") >= bottom) & (F.col("n_spans") > F.col("foot") * share)
+    edges = joined.groupBy("doc").agg(
+        F.coalesce(F.min(F.when(in_head(0.3), F.col("bin"))), F.lit(0)).alias("a"),
+        F.coalesce(F.max(F.when(in_head(0.5), F.col("bin") + 1)), F.lit(top)).alias("b"),
+        F.coalesce(F.min(F.when(in_foot(0.5), F.col("bin"))), F.lit(bottom)).alias("c"),
+        F.coalesce(F.max(F.when(in_foot(0.3), F.col("bin") + 1)), F.lit(bins)).alias("d"),
+    )
+    edges = edges.withColumn("b", F.when(F.col("b") > F.col("c"), F.least(F.col("b"), F.col("c") - 1)).otherwise(F.col("b")))
+    share = lambda x, name: (x / F.lit(float(bins))).alias(name)
+    return edges.select(
+        "doc", share(F.col("a"), "header_top"), share(F.col("b"), "header_bottom"), share(F.greatest("b", F.lit(top)), "body_top"), share(F.least("c", F.lit(bottom)), "body_bottom"), share(F.col("c"), "footer_top"), share(F.col("d"), "footer_bottom"),
+    )
 
 
 def title_block(spans: DataFrame, word: str = "SHEET", reach: float = 300.0, pad: float = 20.0) -> DataFrame:

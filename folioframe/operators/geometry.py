@@ -47,27 +47,32 @@ def canonicalize(spans: DataFrame) -> DataFrame:
 
 
 def _number(c: str) -> Column:
-    return F.col(c).cast("bigint").cast("string")
+    """Six decimals, so that fractions count and equal numbers look alike."""
+    return F.col(c).cast("decimal(18,6)").cast("string")
 
 
-def _hash(spans: DataFrame, line: Column, name: str) -> DataFrame:
-    pages = spans.select("doc", "page_index", "rank", line.alias("line")).groupBy("doc", "page_index").agg(F.sort_array(F.collect_list(F.struct("rank", "line"))).alias("lines"))
-    per_page = pages.select("doc", "page_index", F.sha2(F.array_join(F.col("lines.line"), "\n"), 256).alias("page_hash"))
+def _hash(spans: DataFrame, head: list[Column], line: Column, name: str) -> DataFrame:
+    """A hash of each page's head, number of spans and lines, and one of these in order for each document."""
+    lines = F.sort_array(F.collect_list(F.struct("rank", "line"))).alias("lines")
+    pages = spans.select("doc", "page_index", "rank", line.alias("line"), F.concat_ws(",", *head).alias("head"))
+    pages = pages.groupBy("doc", "page_index").agg(lines, F.min("head").alias("head"))
+    whole = F.concat(F.col("head"), F.lit(","), F.size("lines").cast("string"), F.lit("\n"), F.array_join(F.col("lines.line"), "\n"))
+    per_page = pages.select("doc", "page_index", F.sha2(whole, 256).alias("page_hash"))
     docs = per_page.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("page_index", "page_hash"))).alias("pages"))
     return docs.select("doc", F.sha2(F.array_join(F.col("pages.page_hash"), "\n"), 256).alias(name))
 
 
 def content_hash(spans: DataFrame) -> DataFrame:
-    """A hash of each document's texts, boxes and fonts: pages are hashed, then the pages' hashes in order."""
+    """A hash of each document's page sizes, texts, boxes and fonts: pages are hashed, then the pages' hashes in order."""
     line = F.concat_ws("|", "text", *[_number(c) for c in ("x0", "y0", "x1", "y1")], "font_name", _number("font_size"))
-    return _hash(spans, line, "content_hash")
+    return _hash(spans, [_number("width"), _number("height")], line, "content_hash")
 
 
 def span_hash(spans: DataFrame) -> DataFrame:
     """A hash of each document's layout without its texts."""
     flags = [F.col(c).cast("int").cast("string") for c in ("is_bold", "is_italic", "is_fixed")]
     line = F.concat_ws("|", "span_key", *[_number(c) for c in ("x0", "y0", "x1", "y1")], "font_name", _number("font_size"), *flags)
-    return _hash(spans, line, "span_hash")
+    return _hash(spans, [F.col("page_index").cast("string")], line, "span_hash")
 
 
 def to_top_left(spans: DataFrame) -> DataFrame:

@@ -109,12 +109,24 @@ def not_mentioned(changed: DataFrame, narrative: DataFrame, most: int = 50) -> D
 
 
 def rename_suggestions(lines: DataFrame, original: DataFrame, addendum: DataFrame) -> DataFrame:
-    """Renames told by lines: ids of one line, or of two lines in a row that have ids, of which the first is only in the original and the second only in the addendum."""
-    ids = line_ids(lines).groupBy("doc_id", "line_no").agg(F.sort_array(F.collect_set("id")).alias("ids"))
-    one = ids.where(F.size("ids") == 1).select("doc_id", "line_no", F.element_at("ids", 1).alias("id"))
-    where = one.join(original.select("id").distinct().withColumn("in_original", F.lit(True)), "id", "left").join(addendum.select("id").distinct().withColumn("in_addendum", F.lit(True)), "id", "left")
-    state = where.withColumn("kind", F.when(F.col("in_original").isNotNull() & F.col("in_addendum").isNull(), "old").when(F.col("in_original").isNull() & F.col("in_addendum").isNotNull(), "new").otherwise("other"))
+    """Renames that lines tell of: ``doc_id, line_no, new_id, old_id, reason``.
+
+    A line with two ids, one only in the addendum and one only in the original,
+    tells of a rename (``two_id_match``).  A line whose one id is only in the
+    addendum waits for the next line that has ids: if that has one, only in the
+    original, the first renames it (``context_match``).
+    """
+    ids = lines.select("doc_id", "line_no", ids_in_text(F.upper("line")).alias("ids")).where(F.size("ids") > 0)
+    known = original.select("id", F.lit("old").alias("kind")).unionByName(addendum.select("id", F.lit("new").alias("kind"))).distinct()
+    known = known.groupBy("id").agg(F.max("kind").alias("kind"), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
+    few = ids.where(F.size("ids") <= 2).select("doc_id", "line_no", F.posexplode("ids").alias("at", "id")).join(known, "id", "left")
+    of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("id")))
+    state = few.groupBy("doc_id", "line_no").agg(of("new").alias("new_id"), of("old").alias("old_id"), F.count("kind").alias("n_known"))
     w = Window.partitionBy("doc_id").orderBy("line_no")
-    # a line with several ids ends what the line before began
-    seq = ids.select("doc_id", "line_no").join(state, ["doc_id", "line_no"], "left").withColumns({"before": F.lag("id").over(w), "kind_before": F.lag("kind").over(w)})
-    return seq.where("kind = 'new' AND kind_before = 'old'").select("doc_id", "line_no", F.col("before").alias("old_id"), F.col("id").alias("new_id"))
+    seq = ids.select("doc_id", "line_no", F.size("ids").alias("n")).join(state, ["doc_id", "line_no"], "left")
+    waiting = F.when((F.lag("n").over(w) == 1) & F.lag("old_id").over(w).isNull(), F.lag("new_id").over(w))
+    seq = seq.withColumn("waiting", waiting)
+    two = (F.col("n") == 2) & (F.col("n_known") == 2) & F.col("new_id").isNotNull() & F.col("old_id").isNotNull()
+    context = (F.col("n") == 1) & F.col("old_id").isNotNull() & F.col("waiting").isNotNull()
+    found = seq.withColumn("reason", F.when(two, "two_id_match").when(context, "context_match")).where("reason IS NOT NULL")
+    return found.select("doc_id", "line_no", F.when(F.col("reason") == "two_id_match", F.col("new_id")).otherwise(F.col("waiting")).alias("new_id"), "old_id", "reason")

@@ -24,19 +24,32 @@ def repair_section_ids(pages: DataFrame, doc: str = "doc_id", order: str = "page
 
 
 def mark_runs(pages: DataFrame, doc: str = "doc_id", order: str = "page_index", value: str = "section_id", page_no: str | None = "page_in_section") -> DataFrame:
-    """Adds ``run_no``: a run ends where the value changes, or where the page number returns to 1 from a larger one."""
+    """Adds ``run_no`` and ``run_value``, both null for pages in no run.
+
+    A run starts with a value that differs from that of the run so far, or
+    where the page number returns to 1 from a larger one; pages without a value
+    belong to the run before them.  Pages before the first value are in no run,
+    and a return to 1 without a value ends a run and begins none.
+    """
     w = _pages(doc, order)
-    first = F.row_number().over(w) == 1
-    new = first | ~F.col(value).eqNullSafe(F.lag(value).over(w))
-    if page_no:
-        new = new | F.coalesce((F.col(page_no) == 1) & (F.lag(page_no).over(w) > 1), F.lit(False))
-    marked = pages.withColumn("is_start", F.when(new, 1).otherwise(0))
-    return marked.withColumn("run_no", F.sum("is_start").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    back = F.coalesce((F.col(page_no) == 1) & (F.lag(page_no).over(w) > 1), F.lit(False)) if page_no else F.lit(False)
+    known = F.col(value).isNotNull()
+    event = F.when(known, F.concat(F.lit("="), F.col(value).cast("string"))).when(back, F.lit("end"))
+    marked = pages.withColumns({"run_back": back, "run_event": event})
+    before = F.last("run_event", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    now = F.last("run_event", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    start = known & (F.col("run_back") | ~F.col("run_event").eqNullSafe(before))
+    so_far = F.sum(F.when(start, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    inside = F.coalesce(now != "end", F.lit(False))
+    latest = F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return marked.withColumns({"run_no": F.when(inside, so_far), "run_value": F.when(inside, latest)}).drop("run_back", "run_event")
 
 
 def section_runs(pages: DataFrame, doc: str = "doc_id", order: str = "page_index", value: str = "section_id", page_no: str | None = "page_in_section") -> DataFrame:
     """A row for each run: its value, first and last page, and pages."""
-    return mark_runs(pages, doc, order, value, page_no).groupBy(doc, "run_no", value).agg(F.min(order).alias("start_page"), F.max(order).alias("end_page"), F.count(F.lit(1)).alias("page_count"))
+    marked = mark_runs(pages, doc, order, value, page_no).where("run_no IS NOT NULL")
+    ends = [F.min(order).alias("start_page"), F.max(order).alias("end_page"), F.count(F.lit(1)).alias("page_count")]
+    return marked.groupBy(doc, "run_no").agg(F.first("run_value").alias(value), *ends)
 
 
 def section_audit(pages: DataFrame) -> DataFrame:

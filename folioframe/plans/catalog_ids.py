@@ -134,11 +134,21 @@ def sample_ids(s, d):
     return normalized(s, d).where("doc = 'R' AND page_index % 200 = 0").select("id")
 
 
+def rename_lines(s, d):
+    """Narrative lines with ids of two sets: NEW- and OLD- in lines of their own, both in one, ids in neither."""
+    n = F.lpad((F.col("doc_id") % 100).cast("string"), 3, "0")
+    new, old, both = (F.concat(F.lit(x), n) for x in ("sheet NEW-", "sheet OLD-", "sheet BOTH-"))
+    line = F.when(F.col("line_no") == 1, new).when(F.col("line_no") == 2, "no id here").when(F.col("line_no") == 3, old)
+    line = line.when(F.col("line_no") == 4, F.concat(old, F.lit(" is now "), new)).when(F.col("line_no") == 5, F.when(F.col("doc_id") % 3 == 0, both).otherwise(new))
+    lines = v.v_narrative(s, d).where("line_no BETWEEN 1 AND 6").select("doc_id", "line_no").distinct()
+    return lines.withColumn("line", line.otherwise(old))
+
+
 def renames(s, d):
-    lines = v.v_narrative(s, d).withColumn("line", F.when(F.col("line_no") == 1, F.concat(F.lit("sheet OLD-"), F.lpad((F.col("doc_id") % 100).cast("string"), 3, "0"))).when(F.col("line_no") == 2, F.concat(F.lit("sheet NEW-"), F.lpad((F.col("doc_id") % 100).cast("string"), 3, "0"))).otherwise(F.col("line")))
-    nums = [(f"{i:03d}",) for i in range(0, 100, 2)]
-    t = s.createDataFrame(nums, "n string")
-    return narrative.rename_suggestions(lines, t.select(F.concat(F.lit("OLD-"), "n").alias("id")), t.select(F.concat(F.lit("NEW-"), "n").alias("id")))
+    def known(*prefixes):
+        return s.createDataFrame([(f"{p}-{i:03d}",) for p in prefixes for i in range(0, 100, 2)], "id string")
+
+    return narrative.rename_suggestions(rename_lines(s, d), known("OLD", "BOTH"), known("NEW", "BOTH"))
 
 
 def merge_sets(s, d):
@@ -265,7 +275,11 @@ scored AS (
   FROM (SELECT DISTINCT id FROM n_sheets WHERE doc = 'R' AND page_index % 200 = 0) w, (SELECT DISTINCT id FROM original) i)
 SELECT id, candidate, similarity, place FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, candidate) AS place FROM scored WHERE similarity >= 0.75) WHERE place <= 3""",
         "validate_not_mentioned": f"{norm},\n{SETS}\nSELECT id FROM {ids_add} ANTI JOIN original USING (id) ORDER BY id LIMIT 50",
-        "line_rename_suggestions": "SELECT o_orderkey AS doc_id, 2 AS line_no, 'OLD-' || lpad((o_orderkey % 100)::VARCHAR, 3, '0') AS old_id, 'NEW-' || lpad((o_orderkey % 100)::VARCHAR, 3, '0') AS new_id FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 1) AND o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 2)",
+        "line_rename_suggestions": """WITH l AS (SELECT DISTINCT l_orderkey AS doc_id, l_linenumber::INTEGER AS line_no, lpad((l_orderkey % 100)::VARCHAR, 3, '0') AS n FROM lineitem WHERE l_orderkey % 2 = 0)
+SELECT doc_id, line_no, 'NEW-' || n AS new_id, 'OLD-' || n AS old_id, 'two_id_match' AS reason FROM l WHERE line_no = 4
+UNION ALL SELECT doc_id, line_no, 'NEW-' || n, 'OLD-' || n, 'context_match'
+FROM (SELECT *, lag(line_no) OVER (PARTITION BY doc_id ORDER BY line_no) AS before FROM l WHERE line_no IN (1, 3, 4, 5, 6))
+WHERE line_no IN (3, 6) AND (before = 1 OR before = 5 AND doc_id % 3 <> 0)""",
         "merge_replace_only": f"""{norm},\n{SETS},
 firsts AS (SELECT id, min(page_index) AS old_place FROM original GROUP BY 1),
 both_ AS (SELECT doc, page_index, id, page_index AS old_place, 0 AS second, 'kept' AS status FROM original ANTI JOIN addendum USING (id) UNION ALL SELECT doc, page_index, id, old_place, 1, 'replaced' FROM addendum JOIN firsts USING (id))

@@ -18,14 +18,19 @@ _REPAIRED = """repaired AS (
 
 
 def _runs_sql(source: str, doc: str, order: str, value: str, page_no: str | None) -> str:
-    back = f" OR coalesce({page_no} = 1 AND lag({page_no}) OVER w > 1, FALSE)" if page_no else ""
-    return f"""marked AS (
-  SELECT *, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY {doc} ORDER BY {order})::BIGINT AS run_no
-  FROM (SELECT *, row_number() OVER w = 1 OR {value} IS DISTINCT FROM lag({value}) OVER w{back} AS new FROM {source} WINDOW w AS (PARTITION BY {doc} ORDER BY {order})))"""
+    back = f"coalesce({page_no} = 1 AND lag({page_no}) OVER w > 1, FALSE)" if page_no else "FALSE"
+    w = f"(PARTITION BY {doc} ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND"
+    return f"""events AS (
+  SELECT *, CASE WHEN {value} IS NOT NULL THEN '=' || {value} WHEN back THEN 'end' END AS event FROM (SELECT *, {back} AS back FROM {source} WINDOW w AS (PARTITION BY {doc} ORDER BY {order}))),
+states AS (
+  SELECT *, last_value(event IGNORE NULLS) OVER {w} 1 PRECEDING) AS event_before, last_value(event IGNORE NULLS) OVER {w} CURRENT ROW) AS event_now, last_value({value} IGNORE NULLS) OVER {w} CURRENT ROW) AS latest FROM events),
+marked AS (
+  SELECT *, CASE WHEN event_now <> 'end' THEN sum(CASE WHEN {value} IS NOT NULL AND (back OR event IS DISTINCT FROM event_before) THEN 1 ELSE 0 END) OVER {w} CURRENT ROW) END::BIGINT AS run_no,
+    CASE WHEN event_now <> 'end' THEN latest END AS run_value FROM states)"""
 
 
 def _run_rows(doc, order, value):
-    return f"SELECT {doc}, run_no, {value}, min({order}) AS start_page, max({order}) AS end_page, count(*) AS page_count FROM marked GROUP BY {doc}, run_no, {value}"
+    return f"SELECT {doc}, run_no, run_value AS {value}, min({order}) AS start_page, max({order}) AS end_page, count(*) AS page_count FROM marked WHERE run_no IS NOT NULL GROUP BY {doc}, run_no, run_value"
 
 
 CANON = (
@@ -43,13 +48,13 @@ canon AS (
 )
 
 
-def _hash_sql(line: str, name: str) -> str:
+def _hash_sql(head: str, line: str, name: str) -> str:
     return f"""{v.with_sql(CANON)},
-pages AS (SELECT doc, page_index, sha256(string_agg({line}, chr(10) ORDER BY rank)) AS h FROM canon GROUP BY 1, 2)
+pages AS (SELECT doc, page_index, sha256(min({head}) || ',' || count(*) || chr(10) || string_agg({line}, chr(10) ORDER BY rank)) AS h FROM canon GROUP BY 1, 2)
 SELECT doc, sha256(string_agg(h, chr(10) ORDER BY page_index)) AS {name} FROM pages GROUP BY 1"""
 
 
-_NUM = " || '|' || ".join(f"{c}::BIGINT" for c in ("x0", "y0", "x1", "y1"))
+_NUM = " || '|' || ".join(f"{c}::DECIMAL(18,6)" for c in ("x0", "y0", "x1", "y1"))
 
 _PAGES = "n_pages AS (SELECT doc, count(DISTINCT page_index) AS n FROM v_spans GROUP BY 1)"
 
@@ -112,7 +117,8 @@ quality AS (
 
 _HIST = """hist AS (
   SELECT doc, bin, count(*) AS n_spans FROM (
-    SELECT doc, unnest(range(t, greatest(t, least(99, floor(y1 * 100 / height)))::BIGINT + 1)) AS bin FROM (SELECT *, least(99, greatest(0, floor(y0 * 100 / height)))::BIGINT AS t FROM v_spans))
+    SELECT doc, unnest(range(floor(least(1, greatest(0, y0 / h)) * 100)::BIGINT, ceil(least(1, greatest(0, y1 / h)) * 100)::BIGINT)) AS bin
+    FROM v_spans JOIN (SELECT doc, arg_min(height, page_index) AS h FROM v_spans GROUP BY 1) USING (doc))
   GROUP BY 1, 2)"""
 
 
@@ -195,8 +201,8 @@ SELECT doc_id, count(DISTINCT section_id) AS n_sections, count(section_id) AS n_
 SELECT doc_id, page_index, section_id FROM (SELECT *, greatest(floor((count(*) OVER (PARTITION BY doc_id) - 5) / 5.0), 1)::BIGINT AS e FROM v_footers) WHERE page_index < 5 OR (page_index - 5) % e = 0""",
         "span_rotation": f"{v.with_sql(CANON)}\nSELECT doc, page_index, span_idx, x0, y0, x1, y1, width, height FROM turned",
         "span_canonical": f"{v.with_sql(CANON)}\nSELECT doc, page_index, span_idx, rank::INTEGER AS rank, span_key, x0, y0, x1, y1 FROM canon",
-        "doc_content_hash": _hash_sql(f"text || '|' || {_NUM} || '|' || font_name || '|' || font_size::BIGINT", "content_hash"),
-        "doc_span_hash": _hash_sql(f"span_key || '|' || {_NUM} || '|' || font_name || '|' || font_size::BIGINT || '|' || is_bold::INTEGER || '|' || is_italic::INTEGER || '|' || is_fixed::INTEGER", "span_hash"),
+        "doc_content_hash": _hash_sql("width::DECIMAL(18,6) || ',' || height::DECIMAL(18,6)", f"text || '|' || {_NUM} || '|' || font_name || '|' || font_size::DECIMAL(18,6)", "content_hash"),
+        "doc_span_hash": _hash_sql("page_index::VARCHAR", f"span_key || '|' || {_NUM} || '|' || font_name || '|' || font_size::DECIMAL(18,6) || '|' || is_bold::INTEGER || '|' || is_italic::INTEGER || '|' || is_fixed::INTEGER", "span_hash"),
         "roi_strict": f"{spans}\nSELECT doc, page_index, span_idx, roi {roi} WHERE x0 >= {left} AND x1 <= {right} AND y0 >= {top} AND y1 <= {bottom}",
         "roi_overlap": f"""{spans}\nSELECT doc, page_index, span_idx, roi {roi}
 WHERE CASE WHEN (x1 - x0) * (y1 - y0) > 0 THEN {shared} >= 0.5 * ((x1 - x0) * (y1 - y0)) ELSE x0 >= {left} AND x0 <= {right} AND y0 >= {top} AND y0 <= {bottom} END""",
@@ -232,8 +238,12 @@ SELECT doc, coalesce((a + 20)::DOUBLE, 0.15 * h) AS header_end, coalesce((z - 20
 LEFT JOIN (SELECT doc, max(band) AS a FROM headers GROUP BY 1) USING (doc) LEFT JOIN (SELECT doc, min(band) AS z FROM footers GROUP BY 1) USING (doc)""",
         "density_histogram": f"{v.with_sql(v.SPANS, _HIST)}\nSELECT * FROM hist",
         "page_regions": f"""{v.with_sql(v.SPANS, _HIST)},
-dense AS (SELECT * FROM hist JOIN (SELECT doc, sum(n_spans) / 100.0::DOUBLE AS mean FROM hist GROUP BY 1) USING (doc) WHERE n_spans >= 0.5 * mean)
-SELECT doc, coalesce(max(bin) FILTER (bin < 15) + 1, 0) / 100.0::DOUBLE AS header_end, coalesce(min(bin) FILTER (bin >= 85), 100) / 100.0::DOUBLE AS footer_start FROM dense GROUP BY 1""",
+zones AS (SELECT doc, sum(n_spans) FILTER (bin < 12) / 12.0::DOUBLE AS head, sum(n_spans) FILTER (bin >= 88) / 12.0::DOUBLE AS foot FROM hist GROUP BY 1),
+edges AS (
+  SELECT doc, coalesce(min(bin) FILTER (bin < 12 AND n_spans > head * 0.3), 0) AS a, coalesce(max(bin + 1) FILTER (bin < 12 AND n_spans > head * 0.5), 12) AS b0,
+    coalesce(min(bin) FILTER (bin >= 88 AND n_spans > foot * 0.5), 88) AS c, coalesce(max(bin + 1) FILTER (bin >= 88 AND n_spans > foot * 0.3), 100) AS d FROM hist JOIN zones USING (doc) GROUP BY 1),
+fixed AS (SELECT *, CASE WHEN b0 > c THEN least(b0, c - 1) ELSE b0 END AS b FROM edges)
+SELECT doc, a / 100.0::DOUBLE AS header_top, b / 100.0::DOUBLE AS header_bottom, greatest(b, 12) / 100.0::DOUBLE AS body_top, least(c, 88) / 100.0::DOUBLE AS body_bottom, c / 100.0::DOUBLE AS footer_top, d / 100.0::DOUBLE AS footer_bottom FROM fixed""",
         "title_block": f"""{spans},
 marks AS (SELECT doc, page_index, x0 AS mx, y0 AS my FROM v_spans WHERE contains(upper(text), 'LICENSE'))
 SELECT doc, page_index, min(x0) - 20 AS x0, min(y0) - 20 AS y0, max(x1) + 20 AS x1, max(y1) + 20 AS y1
