@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -164,39 +165,116 @@ def validate_patch(ops: DataFrame, nodes: DataFrame) -> DataFrame:
     return joined.select("ord", "op", "target_anchor", verdict.alias("verdict"))
 
 
-def apply_patch(nodes: DataFrame, ops: list[dict], every: int = 8) -> DataFrame:
-    """Nodes ``ord double, anchor, text`` after ordered edits: insert, delete, replace, move, renumber.
+def next_marker(marker: str, style: str) -> str:
+    """The marker behind one of a list: ``alpha-lower``, ``alpha-upper`` or ``numeric``; after z comes aa."""
+    if style == "numeric":
+        return str(int(marker) + 1)
+    last = "z" if style == "alpha-lower" else "Z"
+    return chr(ord(last) - 25) * 2 if marker == last else chr(ord(marker[0]) + 1)
+
+
+def patched(rows: list[dict], ops: list[dict]) -> list[dict]:
+    """The nodes of one document after the edits, in their new order; see ``apply_patch``."""
+    nodes = {r["node_id"]: dict(r) for r in sorted(rows, key=lambda r: (r["ord"], r["node_id"]))}
+    below: dict[tuple, list[str]] = {}
+    for node in nodes.values():
+        node["parent_id"] = node["parent_id"] if node["parent_id"] in nodes else None
+        below.setdefault(_place(node), []).append(node["node_id"])
+
+    def one(anchor: str, op: dict) -> dict:
+        found = [n for n in nodes.values() if n["anchor"] == anchor and op.get("section_id") in (None, n["section_id"])]
+        if len(found) != 1:
+            raise ValueError(f"cannot {op['op']}: {anchor!r} is on {len(found)} nodes")
+        return found[0]
+
+    def subtree(node_id: str) -> list[str]:
+        todo, out = [node_id], []
+        while todo:
+            out.append(todo.pop())
+            todo += below.get(("", out[-1]), [])
+        return out
+
+    def put(ids: list[str], target: dict, position: str) -> None:
+        if position == "child":
+            parent = target["node_id"]
+            below.setdefault(("", parent), []).extend(ids)
+        else:
+            parent, beside = target["parent_id"], below[_place(target)]
+            at = beside.index(target["node_id"]) + (position == "after")
+            beside[at:at] = ids
+        for i in ids:
+            nodes[i]["parent_id"] = parent
+            for j in subtree(i):
+                nodes[j]["section_id"] = target["section_id"]
+
+    for number, op in enumerate(ops):
+        kind = op["op"]
+        if kind == "insert":
+            target = one(op["target"], op)
+            new = dict.fromkeys(target) | {"node_id": f"{target['node_id']}-inserted-{number}", "ord": target["ord"]}
+            new |= {c: target[c] for c in ("doc", "section_id")}
+            new |= {"level": op.get("level", target["level"])} | {c: op.get(c) for c in ("kind", "marker", "text")}
+            nodes[new["node_id"]] = new
+            put([new["node_id"]], target, op.get("position", "after"))
+        elif kind == "delete":
+            for anchor in op["targets"]:
+                node = one(anchor, op)
+                below[_place(node)].remove(node["node_id"])
+                for i in subtree(node["node_id"]):
+                    del nodes[i]
+        elif kind == "move":
+            sources, target = [one(x, op) for x in op["sources"]], one(op["target"], op)
+            if any(target["node_id"] in subtree(n["node_id"]) for n in sources):
+                raise ValueError(f"cannot move: {op['target']!r} is among what moves")
+            for node in sources:
+                below[_place(node)].remove(node["node_id"])
+            put([n["node_id"] for n in sources], target, op.get("position", "after"))
+        elif kind == "renumber":
+            start, marker = one(op["target"], op), op["new_start"]
+            beside = below[_place(start)]
+            for i in beside[beside.index(start["node_id"]) :]:
+                if nodes[i]["level"] == start["level"] and nodes[i]["kind"] == "list-item":
+                    nodes[i]["marker"] = marker
+                    marker = next_marker(marker, op["style"])
+        elif kind == "replace":
+            one(op["target"], op)["text"] = op["text"]
+        else:
+            raise ValueError(f"unknown operation {kind}")
+    sections = dict.fromkeys(r["section_id"] for r in sorted(rows, key=lambda r: (r["ord"], r["node_id"])))
+    todo = [i for section in reversed(sections) for i in reversed(below.get((section, None), []))]
+    out = []
+    while todo:
+        node = nodes[todo.pop()]
+        out.append(node | {"ord": len(out)})
+        todo += reversed(below.get(("", node["node_id"]), []))
+    return out
+
+
+def _place(node: dict) -> tuple:
+    """Whose list a node is in: its parent's, or its section's."""
+    return (node["section_id"], None) if node["parent_id"] is None else ("", node["parent_id"])
 
-    Orders are fractional, so that an insert touches one row; an edit is one
-    narrow step over a table, and lineage is cut after every few of them.
+
+def apply_patch(nodes: DataFrame, ops: list[dict]) -> DataFrame:
+    """Each document's nodes after ordered edits, numbered anew in reading order.
+
+    ``nodes`` has ``doc, section_id, node_id, parent_id, ord, level, kind,
+    marker, text, anchor``.  Edits name nodes by anchor, which has to be on
+    exactly one node of the document (of ``section_id``, if given), else the
+    patch fails: ``insert`` (``target``, ``position`` before, after or child),
+    ``delete`` (``targets``, with all below them), ``move`` (``sources`` in order
+    to ``target``), ``renumber`` (list items of one level from ``target`` on,
+    from ``new_start`` in ``style``) and ``replace`` (``text``).  A patch is a
+    true fold, so each document is edited by one task, in one exchange however
+    many edits there are.
     """
-    spark = nodes.sparkSession
-    for i, op in enumerate(ops):
-        target = F.col("anchor") == op["target"]
-        if op["op"] == "delete":
-            nodes = nodes.where(~F.coalesce(target, F.lit(False)))
-        elif op["op"] == "replace":
-            nodes = nodes.withColumn("text", F.when(target, F.lit(op["text"])).otherwise(F.col("text")))
-        elif op["op"] == "renumber":
-            nodes = nodes.withColumn("anchor", F.when(target, F.lit(op["new"])).otherwise(F.col("anchor")))
-        elif op["op"] in ("insert", "move"):
-            beside = nodes.where(F.col("anchor") == op["target"]).agg(F.min("ord").alias("t"))
-            at = nodes.crossJoin(F.broadcast(beside))  # one row
-            if op.get("position", "after") == "after":
-                edge = at.where("ord > t").agg(F.min("ord").alias("other"))
-            else:
-                edge = at.where("ord < t").agg(F.max("ord").alias("other"))
-            place = beside.crossJoin(edge).select(((F.col("t") + F.coalesce("other", F.col("t") + (2 if op.get("position", "after") == "after" else -2))) / 2).alias("place"))
-            if op["op"] == "insert":
-                nodes = nodes.unionByName(place.where("place IS NOT NULL").select(F.col("place").alias("ord"), F.lit(op.get("new")).cast("string").alias("anchor"), F.lit(op["text"]).alias("text")))
-            else:
-                moved = F.col("anchor") == op["source"]
-                nodes = nodes.crossJoin(F.broadcast(place)).withColumn("ord", F.when(moved, F.coalesce("place", "ord")).otherwise(F.col("ord"))).drop("place")
-        else:
-            raise ValueError(f"unknown operation {op['op']}")
-        if spark.conf.get("spark.checkpoint.dir", None) and i % every == every - 1:
-            nodes = nodes.checkpoint()
-    return nodes
+    names = ["doc", "section_id", "node_id", "parent_id", "ord", "level", "kind", "marker", "text", "anchor"]
+    table = nodes.select(*[F.col(c).cast("bigint" if c == "ord" else "int" if c == "level" else "string") for c in names])
+
+    def run(batch: pa.Table) -> pa.Table:
+        return pa.Table.from_pylist(patched(batch.to_pylist(), ops), schema=batch.schema)
+
+    return table.groupBy("doc").applyInArrow(run, table.schema)
 
 
 def outline_from_flat(rows: DataFrame) -> DataFrame:

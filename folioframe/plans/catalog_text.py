@@ -131,15 +131,32 @@ def patch_nodes(s, d):
     return v.v_outline(s, d).where("level <= 1").select(F.row_number().over(trees.Window.orderBy("level", "ord")).cast("double").alias("ord"), F.col("node_id").alias("anchor"), F.col("title").alias("text"))
 
 
+def patch_tree(s, d):
+    """Regions with their nations as list items; a document for each remainder of the page number."""
+    tree = v.v_outline(s, d).where("level <= 1")
+    item = F.col("level") == 1
+    return tree.crossJoin(s.range(3).select(F.concat(F.lit("d"), "id").alias("doc"))).select(
+        "doc", F.lit("S").alias("section_id"), "node_id", "parent_id", F.col("ord"), "level", F.when(item, "list-item").otherwise("article").alias("kind"), F.when(item, F.col("ord").cast("string")).alias("marker"), F.col("title").alias("text"), F.col("node_id").alias("anchor"),
+    )
+
+
 PATCH = [
-    {"op": "insert", "target": "r1", "new": "new1", "text": "Inserted"},
+    {"op": "delete", "targets": ["r4"]},
+    {"op": "insert", "target": "r1", "text": "Inserted", "kind": "article"},
+    {"op": "insert", "target": "r2", "position": "child", "level": 1, "text": "Last", "kind": "list-item", "marker": "z"},
+    {"op": "move", "sources": ["r3"], "target": "r0", "position": "before"},
     {"op": "replace", "target": "r2", "text": "Replaced"},
-    {"op": "delete", "target": "n3"},
-    {"op": "move", "source": "n5", "target": "r0", "position": "before"},
-    {"op": "renumber", "target": "n7", "new": "n700"},
+    {"op": "renumber", "target": "n{first}", "new_start": "7", "style": "numeric"},
 ]
 
 
+def patch(s, d):
+    # renumbering starts at the first nation of region 0
+    first = v.table(s, d, "nation").where("n_regionkey = 0").agg(F.min("n_nationkey")).first()[0]
+    ops = [op | {"target": op["target"].format(first=first)} if "target" in op else op for op in PATCH]
+    return trees.apply_patch(patch_tree(s, d), ops).select("doc", "node_id", "parent_id", "ord", "level", "marker", "text", "anchor")
+
+
 def patch_ops(s):
     return s.createDataFrame([(0, "delete", "r1", None), (1, "replace", "r2", "A"), (2, "replace", "r2", "zzz"), (3, "delete", "nowhere", None), (4, "move", None, None)], "ord int, op string, target_anchor string, match_text string")
 
@@ -190,7 +207,7 @@ def queries():
         ),
         "heading_pages": lambda s, d: trees.heading_pages(headings(s, d), "^SECTION 23 05 13$"),
         "patch_validate": lambda s, d: trees.validate_patch(patch_ops(s), patch_nodes(s, d)),
-        "patch_apply": lambda s, d: trees.apply_patch(patch_nodes(s, d), PATCH),
+        "patch_apply": patch,
         "column_candidates": lambda s, d: tables.column_candidates(sp(s, d)),
         "table_columns": lambda s, d: tables.spaced_columns(tables.column_candidates(sp(s, d))),
         "table_columns_merged": lambda s, d: tables.merge_columns(tables.column_candidates(sp(s, d))),
@@ -285,6 +302,14 @@ h AS (
   SELECT doc, page_index, (1 - bucket / 792.0::DOUBLE) * 1000 + CASE WHEN (x0 + x1) / 2 / 612.0 BETWEEN 0.1 AND 0.9 THEN 500 ELSE 0 END + CASE WHEN x1 - x0 > 61.2 THEN 200 ELSE 0 END AS score
   FROM l WHERE bucket < 0.3 * 792 AND (page_index % 3 = 1 AND bucket % 7 = 0 OR t = 'SECTION 23 05 13'))
 SELECT doc, arg_max(page_index, (score, -page_index)) AS page_index, max(score) AS score FROM h GROUP BY 1""",
+        "patch_apply": """WITH tree AS (
+  SELECT 'r' || r_regionkey AS node_id, NULL AS parent_id, r_regionkey AS r, -1 AS c, 0 AS level, NULL AS marker, CASE r_regionkey WHEN 2 THEN 'Replaced' ELSE r_name END AS text, 'r' || r_regionkey AS anchor FROM region
+  UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_regionkey, n_nationkey, 1,
+    CASE n_regionkey WHEN 0 THEN 6 + row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) ELSE n_nationkey END::VARCHAR, n_name, 'n' || n_nationkey FROM nation
+  UNION ALL SELECT 'r1-inserted-1', NULL, 1.5, -1, 0, NULL, 'Inserted', NULL
+  UNION ALL SELECT 'r2-inserted-2', 'r2', 2, 1000, 1, 'z', 'Last', NULL),
+placed AS (SELECT *, row_number() OVER (ORDER BY CASE r WHEN 3 THEN -1 ELSE r END, c) - 1 AS ord FROM tree WHERE r <> 4)
+SELECT 'd' || i AS doc, node_id, parent_id, ord, level::INTEGER AS level, marker, text, anchor FROM placed, range(3) t(i)""",
         "patch_validate": """SELECT * FROM (VALUES (0, 'delete', 'r1', 'OK'), (1, 'replace', 'r2', CASE WHEN contains((SELECT r_name FROM region WHERE r_regionkey = 2), 'A') THEN 'OK' ELSE 'MATCH_FAILED' END), (2, 'replace', 'r2', 'MATCH_FAILED'), (3, 'delete', 'nowhere', 'NOT_FOUND'), (4, 'move', NULL, 'MISSING_ANCHOR')) t(ord, op, target_anchor, verdict)""",
         "column_candidates": f"{v.with_sql(v.SPANS, _CAND)}\nSELECT * FROM cand",
         "table_columns": f"{v.with_sql(v.SPANS, _CAND)}\nSELECT * FROM cols",
