@@ -165,7 +165,7 @@ def validate_patch(ops: DataFrame, nodes: DataFrame) -> DataFrame:
     return joined.select("ord", "op", "target_anchor", verdict.alias("verdict"))
 
 
-def next_marker(marker: str, style: str) -> str:
+def marker_after(marker: str, style: str) -> str:
     """The marker behind one of a list: ``alpha-lower``, ``alpha-upper`` or ``numeric``; after z comes aa."""
     if style == "numeric":
         return str(int(marker) + 1)
@@ -235,7 +235,7 @@ def patched(rows: list[dict], ops: list[dict]) -> list[dict]:
             for i in beside[beside.index(start["node_id"]) :]:
                 if nodes[i]["level"] == start["level"] and nodes[i]["kind"] == "list-item":
                     nodes[i]["marker"] = marker
-                    marker = next_marker(marker, op["style"])
+                    marker = marker_after(marker, op["style"])
         elif kind == "replace":
             one(op["target"], op)["text"] = op["text"]
         else:
