@@ -2,16 +2,17 @@
 
 A text's features are its words and pairs of neighbouring words, each once.
 Every feature votes on the bits of a 128-bit SimHash.  The forest has several
-tries, each over its own random order of the bits, kept as sorted lists: the
-texts next to each other in a list are those that share the longest prefixes.
-Every text is compared with the ``WINDOW`` texts before and after it, so that
-the prefix that two texts must share is long where texts are dense and short
-where they are sparse: from a text's own leaf the search climbs to ever shorter
-prefixes until the window is full.  In n evenly spread texts that reaches
-prefixes of log2(n / WINDOW) bits, and there are as many tries as make a pair
-at the largest distance that counts meet with the target recall; closer pairs
-meet more often.  The tries grow as about n^0.3, without a bound; the work in
-one of them is n * WINDOW comparisons of bits, however many texts are alike.
+tries, each over its own random order of the bits.  Texts that share a trie's
+first bits, about log2(n / ``WINDOW``) of n texts, are a bucket, and all pairs
+of a bucket are compared, however large it is: one of more than ``BIG`` texts
+is cut into blocks, and each pair of blocks is compared in a group of its own.
+There are as many tries as make a pair at the largest distance that counts
+share a bucket with the target recall; closer pairs do so more often.
+
+So that dense texts need not be expanded into all their pairs, a first pass
+compares each text with its ``NEAR`` neighbours in the sorted order of a few
+tries and links what it finds into classes.  It decides nothing else: the
+buckets are then searched for all pairs between different classes.
 
 Pairs that meet are verified by their whole distance and then by the share of
 features in common, estimated from a sketch of each text's smallest feature
@@ -45,11 +46,17 @@ from .common import (
 BITS = 128
 #: Texts whose SimHashes differ in at most so many bits are near copies.
 RADIUS = 24
-RECALL = 0.9
+RECALL = 0.99
 #: Smallest feature hashes kept of each text, and the least share of features in common (Jaccard) by them.
 SKETCH, LEAST_SHARED = 64, 0.5
-#: Neighbours on each side in a trie's order that a text is compared with.
+#: Texts in a bucket, if they are spread evenly; sets the depth of the tries and bounds nothing.
 WINDOW = 2048
+#: Texts of a bucket that one group compares; larger buckets are cut into blocks of about so many.
+BIG = 1 << 15
+#: The first pass: neighbours on each side in a trie's order, and tries.
+NEAR, NEAR_TRIES = 256, 6
+#: Rows and columns that are compared at once in a bucket.
+TILE = 64, 2048
 #: A trie is cut into parts of about 2^PART windows, which are sorted apart.
 PART = 4
 #: Rows of a part that are compared at once.
@@ -190,14 +197,9 @@ def _slim(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {id_type(docs)}, key binary, id bigint, hi bigint, lo bigint, n_features int, sketch binary")
 
 
-def near_edges(nodes: DataFrame, n: int, radius: int = RADIUS, recall: float = RECALL, window: int = WINDOW) -> DataFrame:
-    """``a, b``: pairs of keys that connect all texts that the forest finds within the radius.
-
-    A row of a trie has the SimHash in its order and a 64-bit hash of the
-    text's key; should two texts have the same, both are verified.
-    """
-    depth, tries = shape(n, radius, recall, window)
-    order = orders(tries)
+def neighbours(nodes: DataFrame, depth: int, order: np.ndarray, radius: int, window: int) -> DataFrame:
+    """``a, b``: pairs of ids within the radius that stand within the window in a trie's sorted order, as ``linked`` picks them."""
+    tries = len(order)
     part_bits = max(0, depth - PART)
 
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,8 +239,137 @@ def near_edges(nodes: DataFrame, n: int, radius: int = RADIUS, recall: float = R
 
     planted = nodes.select("hi", "lo", "id").mapInArrow(plant, "part bigint, at bigint, rest bigint, id bigint")
     ordered = planted.repartition("part").sortWithinPartitions("part", "at", "rest", "id")
-    met = ordered.mapInArrow(compare, "a bigint, b bigint").distinct()
-    return verified(met, nodes)
+    return ordered.mapInArrow(compare, "a bigint, b bigint").distinct()
+
+
+def apart(sims: np.ndarray, of: np.ndarray, side: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (i, j) within the radius whose classes ``of`` differ; where ``side`` isn't 0, those of sides 1 and 2."""
+    order = np.lexsort((of, side))
+    first, rest, kind = sims[order, 0], sims[order, 1], of[order]
+    n, cross = len(order), bool(side[order[-1]])
+    split = int(np.searchsorted(side[order], 2)) if cross else n
+    # a row's columns start behind its class, or are all of the other side
+    begin = np.full(n, split) if cross else np.searchsorted(kind, kind, side="right")
+    rows, columns = TILE
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for a in range(0, split, rows):
+        b = min(a + rows, split)
+        for c in range(int(begin[a]), n, columns):
+            d = min(c + columns, n)
+            if cross and kind[a] == kind[b - 1] == kind[c] == kind[d - 1]:
+                continue
+            some = np.flatnonzero(np.bitwise_count(first[a:b, None] ^ first[c:d]) <= radius)
+            i, j = a + some // (d - c), c + some % (d - c)
+            ok = (kind[i] != kind[j]) & (j >= begin[i])
+            i, j = i[ok], j[ok]
+            near = np.bitwise_count(first[i] ^ first[j]) + np.bitwise_count(rest[i] ^ rest[j]) <= radius
+            if near.any():
+                found.append((order[i[near]], order[j[near]]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], columns: list[str], by: int) -> Iterator[np.ndarray]:
+    """The rows of each group, as columns of an array; rows of a group, by the first ``by`` columns, follow each other."""
+    held: list[np.ndarray] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = np.stack([batch.column(c).to_numpy() for c in columns])
+        cuts = np.flatnonzero((now[:by, 1:] != now[:by, :-1]).any(0)) + 1
+        if held and (held[-1][:by, -1] != now[:by, 0]).any():
+            yield np.concatenate(held, axis=1)
+            held = []
+        for part in np.split(now, cuts, axis=1)[: len(cuts)]:
+            yield np.concatenate([*held, part], axis=1)
+            held = []
+        held.append(now[:, cuts[-1] if len(cuts) else 0 :].copy())
+    if held:
+        yield np.concatenate(held, axis=1)
+
+
+def bucket_pairs(nodes: DataFrame, depth: int, order: np.ndarray, radius: int = RADIUS, big: int = BIG) -> DataFrame:
+    """``a, b``: all pairs of ids of different ``class`` within the radius that share a bucket; each pair once.
+
+    A pair is given in the first trie in which it shares a bucket.  Of the
+    buckets only the large ones are told to the driver, at most a row for each
+    ``big`` rows of the tries.
+    """
+    tries = len(order)
+    ahead = order[:, :depth]
+    masks = np.zeros((tries, BITS), np.uint8)
+    np.put_along_axis(masks, ahead, 1, axis=1)
+    masks = np.packbits(masks, axis=1).view(np.uint64)
+    weight = np.int64(1) << np.arange(depth, dtype=np.int64)
+
+    def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 8192):
+                batch = whole.slice(at, 8192)
+                sims = np.stack([batch.column("hi").to_numpy(), batch.column("lo").to_numpy()], 1)
+                bits = np.unpackbits(sims.view(np.uint8), axis=1)
+                for trie in range(tries):
+                    yield batch, bits[:, ahead[trie]].astype(np.int64) @ weight * tries + trie
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, part in buckets(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(part, return_counts=True)], ["part", "n"])
+
+    sizes = nodes.select("hi", "lo").mapInArrow(count, "part bigint, n bigint").groupBy("part").agg(F.sum("n").alias("n"))
+    large = sorted(tuple(r) for r in sizes.where(F.col("n") > big).collect())
+    cut = np.array([p for p, _ in large], np.int64)
+    into = np.array([-(-n // big) for _, n in large] + [1], np.int64)
+
+    def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(batch: pa.RecordBatch, part: np.ndarray, cell: np.ndarray, side: np.ndarray) -> pa.RecordBatch:
+            made = [pa.array(part), pa.array(cell), pa.array(side)]
+            return pa.RecordBatch.from_arrays(made + [batch.column(c) for c in ("hi", "lo", "id", "class")], ["part", "cell", "side", "hi", "lo", "id", "class"])
+
+        for batch, part in buckets(batches):
+            none = np.zeros(len(part), np.int64)
+            if not len(cut):
+                yield rows(batch, part, none, none)
+                continue
+            at = np.searchsorted(cut, part)
+            at[cut[np.minimum(at, len(cut) - 1)] != part] = len(cut)
+            n = into[at]
+            mine = (splitmix(batch.column("id").to_numpy().view(np.uint64)) % n.astype(np.uint64)).astype(np.int64)
+            for other in range(int(n.max())):
+                take = np.flatnonzero(other < n)
+                low, high = np.minimum(mine[take], other), np.maximum(mine[take], other)
+                side = np.where(low == high, 0, np.where(mine[take] == low, 1, 2))
+                yield rows(batch.take(pa.array(take)), part[take], low * n[take] + high, side)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _grouped(batches, ["part", "cell", "side", "hi", "lo", "id", "class"], 2):
+            sims = np.ascontiguousarray(group[3:5].T).view(np.uint64)
+            i, j = apart(sims, group[6], group[2], radius)
+            if not len(i):
+                continue
+            differ, new = sims[i] ^ sims[j], np.ones(len(i), bool)
+            for trie in range(int(group[0, 0] % tries)):
+                new &= (differ & masks[trie]).any(1)
+            a, b = group[5, i[new]], group[5, j[new]]
+            for at in range(0, len(a), 1 << 16):
+                x, y = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+    planted = nodes.select("hi", "lo", "id", "class").mapInArrow(plant, "part bigint, cell bigint, side bigint, hi bigint, lo bigint, id bigint, class bigint")
+    return planted.repartition("part", "cell").sortWithinPartitions("part", "cell").mapInArrow(compare, "a bigint, b bigint")
+
+
+def near_edges(nodes: DataFrame, n: int, radius: int = RADIUS, recall: float = RECALL, window: int = WINDOW, big: int = BIG) -> DataFrame:
+    """``a, b``: pairs of keys that connect all texts that the forest finds within the radius and verifies.
+
+    A row of a trie has the SimHash and a 64-bit hash of the text's key; should
+    two texts have the same, both are verified.
+    """
+    depth, tries = shape(n, radius, recall, window)
+    order = orders(tries)
+    classes = materialise(components(verified(neighbours(nodes, depth, order[:NEAR_TRIES], radius, min(window, NEAR)), nodes)))
+    of = classes.select("key", F.xxhash64("root").alias("class"))
+    known = nodes.join(of, "key", "left").select("id", "hi", "lo", F.coalesce("class", "id").alias("class"))
+    more = verified(bucket_pairs(materialise(known), depth, order, radius, big), nodes)
+    return classes.select(F.col("key").alias("a"), F.col("root").alias("b")).where("a <> b").unionByName(more)
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, least: float = LEAST_SHARED) -> DataFrame:

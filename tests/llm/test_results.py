@@ -341,6 +341,42 @@ def test_linked_components(n):
     assert root == connected(n, zip(*(x.tolist() for x in np.nonzero(np.triu(near, 1)))))
 
 
+@pytest.fixture(scope="module")
+def dense(spark):
+    """Nodes that are all near each other, of which only i and i + 100 share features."""
+    rng, n = np.random.default_rng(3), 200
+    bits = np.zeros((n, simhash.BITS), np.uint8)
+    for row in bits:
+        row[rng.choice(simhash.BITS, 11, replace=False)] = 1
+    sims = np.packbits(bits, axis=1).view(np.int64)
+    sketches = [np.arange(i % 100 * 64, i % 100 * 64 + 64, dtype=np.uint32).tobytes() for i in range(n)]
+    rows = [(i.to_bytes(4, "big"), i, int(sims[i, 0]), int(sims[i, 1]), sketches[i]) for i in range(n)]
+    return sims.view(np.uint64), spark.createDataFrame(rows, "key binary, id bigint, hi bigint, lo bigint, sketch binary")
+
+
+def test_forest_compares_whole_buckets(dense):
+    """Partners that stand farther apart than the window, between texts that are near but share nothing, are linked."""
+    sims, nodes = dense
+    root = connected(len(sims), [tuple(sorted(int.from_bytes(bytes(k), "big") for k in r)) for r in simhash.near_edges(nodes, 1, window=4).collect()])
+    assert root == [i % 100 for i in range(len(sims))]
+
+
+@pytest.mark.parametrize("big", [1000, 150, 30])
+def test_bucket_pairs_by_brute_force(dense, big):
+    """Each pair of different classes that shares a bucket once, in one piece or in blocks."""
+    sims, nodes = dense
+    of = np.arange(len(sims)) // 3
+    order, depth = simhash.orders(5), 3
+    bits = np.unpackbits(sims.view(np.uint8), axis=1)
+    met = np.zeros((len(sims),) * 2, bool)
+    for trie in order:
+        met |= (bits[:, None, trie[:depth]] == bits[None, :, trie[:depth]]).all(2)
+    near = np.bitwise_count(sims[:, None] ^ sims[None]).sum(2) <= 21
+    wanted = sorted(zip(*(x.tolist() for x in np.nonzero(np.triu(met & near & (of[:, None] != of), 1)))))
+    classed = nodes.selectExpr("*", "id div 3 as class")
+    assert sorted(map(tuple, simhash.bucket_pairs(classed, depth, order, radius=21, big=big).collect())) == wanted and len(wanted) > 1000
+
+
 def test_forest_recall_at_the_radius():
     tries = []
     for n in (10, 10_000, 10**6, 10**7, 10**10, 10**12):
