@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
 last return the columns of ``documents``.  ``run`` applies them in order.
+
+A stage lets texts go to Python in small batches, for the rest of the session
+too: the executors' memory adds up over the stages.
 """
 
 from __future__ import annotations
@@ -9,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from folioframe.llm import decontamination, mixing, quality, simhash, sstable
-from folioframe.llm.common import materialise, read
+from folioframe.llm.common import materialise, read, small_batches
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,6 +23,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     probability on the threshold is kept.  An empty table stays empty; all
     columns pass through, extra ones too, whatever they are called.
     """
+    small_batches(spark)
     return quality.good_documents(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
 
 
@@ -31,6 +35,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     words are compared for equality only.  Long texts count whole.  An empty
     table stays empty; all columns pass through, whatever they are called.
     """
+    small_batches(spark)
     return simhash.one_of_each(docs)
 
 
@@ -43,6 +48,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     empty table stays empty; other columns pass through, whatever they are
     called.
     """
+    small_batches(spark)
     return decontamination.decontaminate_documents(docs, read(spark, sf_dir, "benchmark"))
 
 
@@ -66,6 +72,7 @@ def output_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     entry, not cut.  An empty table gives no shards; only ``doc_id`` and
     ``text`` are read, whatever other columns are called.
     """
+    small_batches(spark)
     return sstable.token_shards(docs)
 
 

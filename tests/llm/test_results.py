@@ -14,6 +14,7 @@ from folioframe.llm.common import words_of
 from folioframe.llm.license_texts import TEMPLATES
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 
 @pytest.fixture(scope="module")
@@ -463,3 +464,24 @@ def test_pipeline_stages(spark, duck):
     assert set(rows[4]) <= set(rows[3]) and all(t <= budget for t in total.values())
     entries = sorted(i for s in rows[5] for i, _ in sstable.Shard(bytes(s.data)))
     assert entries == sorted(r[0] for r in rows[4])
+
+
+@pytest.mark.parametrize("stage", [0, 1, 2, 4])
+def test_stages_bound_batches(spark, docs, stage):
+    """After a stage planned its work, no batch of texts is larger than the limit by more than a row; a limit that is set stays."""
+    name, size = "spark.sql.execution.arrow.maxBytesPerBatch", 1 << 12
+    wide = spark.range(2000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), size // 5).alias("text")).coalesce(1)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    spark.conf.unset(name)
+    try:
+        corpus_pipeline.STAGES[stage][1](spark, docs.limit(20), str(DATA))
+        assert max(r.n for r in wide.mapInArrow(sizes, "n bigint").collect()) <= (2 << 20) + 2 * size
+        spark.conf.set(name, "1m")
+        corpus_pipeline.STAGES[stage][1](spark, docs.limit(20), str(DATA))
+        assert spark.conf.get(name) == "1m"
+    finally:
+        spark.conf.unset(name)
