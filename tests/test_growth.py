@@ -4,7 +4,7 @@ import random
 
 import pytest
 from conftest import DATA
-from folioframe.operators import ordering
+from folioframe.operators import merge, ordering
 from folioframe.plans import catalog
 
 
@@ -21,7 +21,7 @@ def sheets(spark, ids, doc="a"):
     return spark.createDataFrame([(doc, i, x) for i, x in enumerate(ids)], "doc string, page_index int, id string")
 
 
-SHEETS = ["split_drawings_groups"]
+SHEETS = ["split_drawings_groups", "merge_replace_only"]
 
 
 @pytest.mark.parametrize("name", SHEETS)
@@ -52,3 +52,13 @@ def test_split_by_ids_with_equal_keys(spark):
     got = ordering.split_drawings(pages, ["A"])
     assert "HashAggregate(keys=[doc#" in plan(got).replace(" ", "")
     assert sorted(tuple(r) for r in got.collect()) == [("a", "A", 5, 4, 1, 6), ("a", "_OTHER", 2, 1, 0, 3)]
+
+
+def test_replaced_pages_of_one_id_are_cut_by_page(spark, monkeypatch):
+    monkeypatch.setattr(merge, "PAGES", 4)
+    original, addendum = sheets(spark, ["A", "X", "B", None, "X"], "o"), sheets(spark, ["X", "B"] * 10 + ["Y", None], "n")
+    df = merge.replace_pages(original, addendum)
+    assert all("pages" in by for by in windows(df) if "part" in by) and windows(df)
+    got = [(r.doc, r.page_index) for r in sorted(df.collect(), key=lambda r: r.pos)]
+    assert got == [("o", 0), *(("n", i) for i in range(0, 20, 2)), *(("n", i) for i in range(1, 20, 2)), ("o", 3)]
+    assert sorted(r.pos for r in df.collect()) == list(range(22))
