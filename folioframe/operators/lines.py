@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,21 +39,27 @@ def running_lines(spans: DataFrame, gap: float = 5.0) -> DataFrame:
 def first_fit_lines(spans: DataFrame, tolerance: float = 5.0) -> DataFrame:
     """Each span's line: the first line whose first span's height is within the tolerance, in order of (y, x).
 
-    The outcome depends on the order, so each page is one group.
+    In this order first spans are more than the tolerance apart, so that only
+    the last line can fit.  Pages follow one another in sorted partitions and
+    pass through one fold, which keeps the last line of one page.
     """
 
-    def fold(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["y0", "x0", "span_idx"])
-        tops: list[float] = []
-        lines = []
-        for y in page.y0:
-            line = next((i for i, top in enumerate(tops) if abs(y - top) <= tolerance), len(tops))
-            if line == len(tops):
-                tops.append(y)
-            lines.append(line)
-        return page.assign(line_id=lines)[["doc", "page_index", "span_idx", "line_id"]]
-
-    return spans.select("doc", "page_index", "span_idx", "y0", "x0").groupBy(*PAGE).applyInPandas(fold, "doc string, page_index int, span_idx int, line_id int")
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, top, line = None, 0.0, 0
+        for batch in batches:
+            lines = []
+            for at, y in zip(zip(batch["doc"].to_pylist(), batch["page_index"].to_pylist()), batch["y0"].to_pylist()):
+                if at != page:
+                    page, top, line = at, y, 0
+                elif not y - top <= tolerance:
+                    top, line = y, line + 1
+                lines.append(line)
+            yield pa.RecordBatch.from_arrays([batch["doc"], batch["page_index"], batch["span_idx"], pa.array(lines, pa.int32())], ["doc", "page_index", "span_idx", "line_id"])
+
+    # a height that isn't known fits nothing and is last
+    known = [F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in ("y0", "x0")]
+    ordered = spans.select("doc", F.col("page_index").cast("int").alias("page_index"), F.col("span_idx").cast("int").alias("span_idx"), *known).repartition(*PAGE).sortWithinPartitions(*PAGE, "y0", "x0", "span_idx")
+    return ordered.mapInArrow(fold, "doc string, page_index int, span_idx int, line_id int")
 
 
 def visual_text(spans: DataFrame, share: float = 0.15) -> DataFrame:

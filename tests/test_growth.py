@@ -4,7 +4,7 @@ import random
 
 import pytest
 from conftest import DATA
-from folioframe.operators import merge, ordering
+from folioframe.operators import lines, merge, ordering
 from folioframe.plans import catalog
 
 
@@ -62,3 +62,24 @@ def test_replaced_pages_of_one_id_are_cut_by_page(spark, monkeypatch):
     got = [(r.doc, r.page_index) for r in sorted(df.collect(), key=lambda r: r.pos)]
     assert got == [("o", 0), *(("n", i) for i in range(0, 20, 2)), *(("n", i) for i in range(1, 20, 2)), ("o", 3)]
     assert sorted(r.pos for r in df.collect()) == list(range(22))
+
+
+def test_first_fit_over_batches(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "b", None]), rng.randrange(3), i, rng.choice([float(rng.randrange(60)), rng.random() * 60, None]), rng.choice([0.0, 1.0])) for i in range(300)]
+    spans = spark.createDataFrame(rows, "doc string, page_index int, span_idx int, y0 double, x0 double")
+    df = lines.first_fit_lines(spans)
+    assert "FlatMapGroupsInPandas" not in plan(df)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r.span_idx: r.line_id for r in df.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for page in {r[:2] for r in rows}:
+        tops = []
+        for _, _, i, y, _ in sorted((r for r in rows if r[:2] == page), key=lambda r: (r[3] is None, r[3] or 0.0, r[4], r[2])):
+            fits = [n for n, top in enumerate(tops) if y is not None and top is not None and abs(y - top) <= 5]
+            if not fits:
+                tops.append(y)
+            assert got[i] == (fits[0] if fits else len(tops) - 1)
+    assert df.where("doc = 'zzz'").count() == 0
