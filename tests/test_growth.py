@@ -21,7 +21,7 @@ def sheets(spark, ids, doc="a"):
     return spark.createDataFrame([(doc, i, x) for i, x in enumerate(ids)], "doc string, page_index int, id string")
 
 
-SHEETS = ["split_drawings_groups", "merge_replace_only", "drawings_row_order"]
+SHEETS = ["split_drawings_groups", "merge_replace_only", "drawings_row_order", "merge_id_map"]
 
 
 @pytest.mark.parametrize("name", SHEETS)
@@ -83,3 +83,9 @@ def test_first_fit_over_batches(spark):
                 tops.append(y)
             assert got[i] == (fits[0] if fits else len(tops) - 1)
     assert df.where("doc = 'zzz'").count() == 0
+
+
+def test_map_of_an_id_keeps_no_list(spark):
+    df = merge.id_map(sheets(spark, ["A", "B", "A", None]))
+    assert "collect_list" not in plan(df)
+    assert sorted(map(tuple, df.collect())) == [("a", "A", 2, 0, True), ("a", "B", 1, 1, False)]
