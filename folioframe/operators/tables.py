@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,19 +21,35 @@ def column_candidates(spans: DataFrame) -> DataFrame:
 
 
 def merge_columns(candidates: DataFrame, within: float = 10.0) -> DataFrame:
-    """Columns of each page: a candidate within 10 of an earlier column moves it halfway; the order matters, so a page is a group."""
-
-    def fold(page: pd.DataFrame) -> pd.DataFrame:
-        columns: list[float] = []
-        for x in sorted(page.x):
-            near = next((i for i, c in enumerate(columns) if abs(x - c) < within), None)
-            if near is None:
-                columns.append(float(x))
-            else:
-                columns[near] = (columns[near] + x) / 2
-        return pd.DataFrame({"doc": page.doc.iloc[0], "page_index": page.page_index.iloc[0], "col_idx": range(len(columns)), "x": columns})
-
-    return candidates.groupBy(*PAGE).applyInPandas(fold, "doc string, page_index int, col_idx int, x double")
+    """Columns of each page: a candidate within 10 of an earlier column moves it halfway; the order matters, so this is a fold.
+
+    A column that one candidate is too far from is too far from all later ones,
+    so that only the last column can be near.  Pages follow one another in
+    sorted partitions and pass through one fold.
+    """
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, column, last = None, 0, 0.0
+        for batch in batches:
+            done = []
+            for at, x in zip(zip(batch["doc"].to_pylist(), batch["page_index"].to_pylist()), batch["x"].to_pylist()):
+                if at == page and abs(x - last) < within:
+                    last = (last + x) / 2
+                    continue
+                if page is not None:
+                    done.append((*page, column, last))
+                page, column, last = at, column + 1 if at == page else 0, x
+            yield _columns(done)
+        if page is not None:
+            yield _columns([(*page, column, last)])
+
+    ordered = candidates.select(*PAGE, F.coalesce(F.col("x").cast("double"), F.lit(float("nan"))).alias("x")).repartition(*PAGE).sortWithinPartitions(*PAGE, "x")
+    return ordered.mapInArrow(fold, "doc string, page_index int, col_idx int, x double")
+
+
+def _columns(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"doc": pa.string(), "page_index": pa.int32(), "col_idx": pa.int32(), "x": pa.float64()}
+    return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows) if rows else [[]] * 4, kinds.values())], list(kinds))
 
 
 def spaced_columns(candidates: DataFrame, within: float = 10.0) -> DataFrame:

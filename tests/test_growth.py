@@ -4,7 +4,7 @@ import random
 
 import pytest
 from conftest import DATA
-from folioframe.operators import lines, merge, ordering
+from folioframe.operators import lines, merge, ordering, tables
 from folioframe.plans import catalog
 
 
@@ -89,3 +89,27 @@ def test_map_of_an_id_keeps_no_list(spark):
     df = merge.id_map(sheets(spark, ["A", "B", "A", None]))
     assert "collect_list" not in plan(df)
     assert sorted(map(tuple, df.collect())) == [("a", "A", 2, 0, True), ("a", "B", 1, 1, False)]
+
+
+def test_merged_columns_over_batches(spark):
+    rng = random.Random(3)
+    rows = [(d, p, x) for d in "ab" for p in range(4) for x in rng.sample(range(200), 30)]
+    df = tables.merge_columns(spark.createDataFrame(rows, "doc string, page_index int, x long"))
+    assert "FlatMapGroupsInPandas" not in plan(df)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = sorted(map(tuple, df.collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = []
+    for d in "ab":
+        for p in range(4):
+            columns = []
+            for x in sorted(x for e, q, x in rows if (e, q) == (d, p)):
+                near = next((i for i, c in enumerate(columns) if abs(x - c) < 10), None)
+                if near is None:
+                    columns.append(float(x))
+                else:
+                    columns[near] = (columns[near] + x) / 2
+            want += [(d, p, i, c) for i, c in enumerate(columns)]
+    assert got == want
