@@ -113,3 +113,66 @@ def test_merged_columns_over_batches(spark):
                     columns[near] = (columns[near] + x) / 2
             want += [(d, p, i, c) for i, c in enumerate(columns)]
     assert got == want
+
+
+def plain_merge(rows, mode, strict):
+    """The plan by scans of the whole working set."""
+    work, lost = [(0, p, i, k, "kept") for s, p, i, k in rows if s == 0], []
+    for source in sorted({r[0] for r in rows if r[0] > 0}):
+        groups = {}
+        for s, page, i, key in rows:
+            if s == source:
+                groups.setdefault(i or "", []).append((source, page, i or None, key))
+        for i, new in groups.items():
+            at = [n for n, w in enumerate(work) if w[2] == i]
+            if mode == "append-only":
+                work += [(*n, "appended") for n in new]
+            elif not i:
+                lost += [(*n, "no-id") for n in new]
+            elif at and strict and all(work[n][0] for n in at):
+                continue
+            elif at:
+                work = [w for n, w in enumerate(work) if w[2] != i or n < at[0]]
+                work[at[0] : at[0]] = [(*n, "replaced") for n in new]
+            elif mode == "replace-only":
+                lost += [(*n, "unmatched") for n in new]
+            else:
+                place = next((n for n, w in enumerate(work) if w[3] is not None and w[3] > new[0][3]), None)
+                if place is None:
+                    place = next((n for n, w in enumerate(work) if w[2] is None), len(work))
+                work[place:place] = [(*n, "inserted") for n in new]
+    return [(n, *w[:3], w[4]) for n, w in enumerate(work)] + [(-1, *w[:3], w[4]) for w in lost]
+
+
+@pytest.mark.parametrize("mode", ["replace+insert", "replace-only", "append-only"])
+@pytest.mark.parametrize("strict", [False, True])
+def test_merge_plan_as_by_scans(mode, strict):
+    rng = random.Random(4)
+    for t in range(500):
+        rows = []
+        for s in range(rng.randrange(1, 5)):
+            for p in range(rng.randrange(12)):
+                i = rng.choice([None, "", *[f"{x:02d}" for x in range(rng.choice([3, 8, 20]))] * 2])
+                rows.append((s, p, i, i and (i[:-1] if t % 2 else i)))  # keys of which several ids have one
+        assert list(merge._merged([list(r) for r in rows], mode, strict)) == plain_merge(rows, mode, strict)
+
+
+def test_merge_plan_of_many_sets(spark):
+    rng = random.Random(5)
+    rows = [(n, s, p, rng.choice([None, *(f"A-{x}" for x in range(9))])) for n in range(40) for s in range(3) for p in range(rng.randrange(9))]
+    df = merge.plan_merge(spark.createDataFrame(rows, "set_id long, source int, page_index long, id string"))
+    assert "FlatMapGroupsInPandas" not in plan(df)
+    got = sorted((tuple(r) for r in df.collect()), key=repr)
+    want = []
+    for n in {r[0] for r in rows}:
+        want += [(n, *r) for r in plain_merge(sorted(((s, p, i, i) for m, s, p, i in rows if m == n), key=lambda r: r[:2]), "replace+insert", False)]
+    assert got == sorted(want, key=repr)
+
+
+def test_merge_plan_takes_time_as_it_has_pages():
+    import time
+
+    pages = [[0, i, f"{i:06d}", f"{i:06d}"] for i in range(0, 40_000, 2)] + [[1, i, f"{i:06d}", f"{i:06d}"] for i in range(1, 40_000, 2)]
+    began = time.thread_time()
+    assert [r[3] for r in merge._merged(pages, "replace+insert", False)] == [f"{i:06d}" for i in range(40_000)]
+    assert time.thread_time() - began < 10
