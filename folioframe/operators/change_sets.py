@@ -57,16 +57,47 @@ def find_headings(pages: DataFrame) -> DataFrame:
     The weaker of a part's two headings counts only where a document has no other.
     """
 
-    def first(pattern: str) -> Column:
-        return F.min(F.when(F.col("text").rlike(pattern), F.col("page_number")))
-
-    found = pages.groupBy("doc_id").agg(*[first(p).alias(n) for p, n in ((DRAWINGS, "a"), (REISSUED, "b"), (MANUAL, "c"), (SPECIFICATIONS, "d"))])
+    found = pages.groupBy("doc_id").agg(*[_first_page(p).alias(n) for n, p in HEADINGS.items()])
     return found.select("doc_id", F.coalesce("a", "b").alias("drawings_page"), F.coalesce("c", "d").alias("specs_page"))
 
 
+HEADINGS = {"a": DRAWINGS, "b": REISSUED, "c": MANUAL, "d": SPECIFICATIONS}
+
+
+def _first_page(pattern: str) -> Column:
+    return F.min(F.when(F.col("text").rlike(pattern), F.col("page_number")))
+
+
 def _part(pages: DataFrame, start: str) -> DataFrame:
-    begins = find_headings(pages).select("doc_id", F.col(start).alias("start"))
-    return page_lines(pages).join(begins, "doc_id").where(F.col("page_number") >= F.col("start")).drop("start")
+    # pages are looked through beside their document's other pages, so that they are made once for headings and lines
+    document = Window.partitionBy("doc_id")
+    first, second = (_first_page(HEADINGS[n]).over(document) for n in ("ab" if start == "drawings_page" else "cd"))
+    begins = pages.where("doc_id IS NOT NULL").select("doc_id", "page_number", "text", F.coalesce(first, second).alias("start"))
+    return page_lines(begins.where(F.col("page_number") >= F.col("start")))
+
+
+def _sheet_raw(line: Column) -> Column:
+    """The sheet of an item of the list, as written."""
+    return F.trim(F.coalesce(*[F.nullif(F.regexp_extract(line, p, 1), F.lit("")) for p in (SHEET_ITEM, PLAIN_ITEM)]))
+
+
+def _sheet_id(raw: Column) -> Column:
+    return F.regexp_replace(F.upper(raw), r"\s", "")
+
+
+def _is_note(line: Column) -> Column:
+    return line.rlike(NOTE) & ~line.rlike(NEXT_ITEM)
+
+
+def _header_code(line: Column) -> Column:
+    """The digits of a section header, null for other lines."""
+    digits = F.regexp_replace(F.regexp_extract(line, LOOSE_HEADER, 1), r"\s", "")
+    strict = F.regexp_replace(F.regexp_extract(line, HEADER, 1), r"\s", "")
+    return F.when(line.rlike(HEADER), strict).when(line.rlike(LOOSE_HEADER) & (F.length(digits) == 6), digits)
+
+
+def _section_id(code: Column) -> Column:
+    return F.when(F.length(code) == 6, F.concat_ws(" ", *[F.substring(code, i, 2) for i in (1, 3, 5)]))
 
 
 def drawing_changes(pages: DataFrame) -> DataFrame:
@@ -80,10 +111,8 @@ def drawing_changes(pages: DataFrame) -> DataFrame:
     lines = _part(pages, "drawings_page")
     line = F.col("line")
     page = Window.partitionBy("doc_id", "page_number").orderBy("line_no")
-    raw = F.coalesce(*[F.nullif(F.regexp_extract(line, p, 1), F.lit("")) for p in (SHEET_ITEM, PLAIN_ITEM)])
     title = F.when(line.rlike(SHEET_ITEM), F.regexp_extract(line, SHEET_ITEM, 2)).otherwise(F.regexp_extract(line, PLAIN_ITEM, 2))
-    is_note = line.rlike(NOTE) & ~line.rlike(NEXT_ITEM)
-    marked = lines.withColumns({"sheet_raw": F.trim(raw), "title": title, "is_note": is_note})
+    marked = lines.withColumns({"sheet_raw": _sheet_raw(line), "title": title, "is_note": _is_note(line)})
     marked = marked.withColumn("segment", F.sum(F.when((line == "") | F.col("is_note"), 0).otherwise(1)).over(page))
     told = line.rlike(REISSUED) & ((F.upper(line) == line) | line.rlike("(?i)^REVISED\\s+AND\\s+RE\\s*[-]\\s*ISSUED"))
     # over all lines of the document's part
@@ -96,7 +125,7 @@ def drawing_changes(pages: DataFrame) -> DataFrame:
         "page_number",
         "line_no",
         "sheet_raw",
-        F.regexp_replace(F.upper("sheet_raw"), r"\s", "").alias("sheet_id"),
+        _sheet_id(F.col("sheet_raw")).alias("sheet_id"),
         F.trim(F.regexp_replace("title", r"^[-–—]\s*", "")).alias("title"),
         F.array_join("n.line", "\n").alias("notes"),
         F.when(F.col("told"), "revised_reissued").otherwise("unknown").alias("change_type"),
@@ -108,13 +137,12 @@ def _spec_blocks(pages: DataFrame) -> DataFrame:
     line = F.col("line")
     whole = Window.partitionBy("doc_id").orderBy("page_number", "line_no")
     stop = line.rlike(SECTION) | is_drawings_start(line) | is_end_marker(line)
-    digits = F.regexp_replace(F.regexp_extract(line, LOOSE_HEADER, 1), r"\s", "")
     strict = line.rlike(HEADER)
-    header = strict | (line.rlike(LOOSE_HEADER) & (F.length(digits) == 6))
-    code = F.when(strict, F.regexp_replace(F.regexp_extract(line, HEADER, 1), r"\s", "")).otherwise(digits)
+    code = _header_code(line)
+    header = code.isNotNull()
     title = F.when(strict, F.regexp_extract(line, HEADER, 2)).otherwise(F.regexp_extract(line, LOOSE_HEADER, 2))
     marked = _part(pages, "specs_page").withColumns({"block": F.sum(F.when(stop, 1).otherwise(0)).over(whole), "next_line": F.lead("line").over(whole)})
-    return marked.withColumns({"is_header": header, "code": F.when(header, code), "own_title": F.when(header, F.trim(title))})
+    return marked.withColumns({"is_header": header, "code": code, "own_title": F.when(header, F.trim(title))})
 
 
 def spec_changes(pages: DataFrame) -> DataFrame:
@@ -125,12 +153,11 @@ def spec_changes(pages: DataFrame) -> DataFrame:
     """
     below = F.col("next_line")
     usable = (below != "") & ~below.rlike(SECTION) & ~below.rlike(r"^\d+$") & ~below.rlike(r"^[A-Z]\.\s")
-    section = F.concat_ws(" ", *[F.substring("code", i, 2) for i in (1, 3, 5)])
     return _spec_blocks(pages).where("is_header").select(
         "doc_id",
         "page_number",
         "line_no",
-        F.when(F.length("code") == 6, section).alias("section_id"),
+        _section_id(F.col("code")).alias("section_id"),
         F.coalesce(F.nullif("own_title", F.lit("")), F.when(usable, below)).alias("title"),
     )
 
@@ -150,16 +177,42 @@ def spec_actions(pages: DataFrame, firms: tuple[str, ...] = ()) -> DataFrame:
 
 
 def narrative_issues(pages: DataFrame) -> DataFrame:
-    """``doc_id, code, subject, n``: parts without items, ids that repeat, and section ids that can't be read."""
-    drawings = drawing_changes(pages).select("doc_id", F.lit("NARR_DUP_SHEET_ID").alias("code"), F.col("sheet_id").alias("subject"))
-    specs = spec_changes(pages)
-    good = specs.where("section_id IS NOT NULL").select("doc_id", F.lit("NARR_DUP_SECTION_ID").alias("code"), F.col("section_id").alias("subject"))
-    found = drawings.unionByName(good)
-    counted = found.groupBy("doc_id", "code", "subject").agg(F.count(F.lit(1)).alias("n"))
-    heads = find_headings(pages)
-    issues = counted.where("n > 1")
-    for page, of, code in (("drawings_page", "NARR_DUP_SHEET_ID", "NARR_NO_DRAWINGS_PARSED"), ("specs_page", "NARR_DUP_SECTION_ID", "NARR_NO_SPECS_PARSED")):
-        empty = heads.where(F.col(page).isNotNull()).join(counted.where(F.col("code") == of).select("doc_id"), "doc_id", "left_anti")
-        issues = issues.unionByName(empty.select("doc_id", F.lit(code).alias("code"), F.lit(None).cast("string").alias("subject"), F.lit(0).cast("bigint").alias("n")))
-    bad = specs.where("section_id IS NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    return issues.unionByName(bad.select("doc_id", F.lit("NARR_BAD_SECTION_ID").alias("code"), F.lit(None).cast("string").alias("subject"), "n"))
+    """``doc_id, code, subject, n``: parts without items, ids that repeat, and section ids that can't be read.
+
+    One pass over the pages: sheet items, section headers and headings are
+    counted by page, whatever part it is in, and then those of pages before
+    the part left out.
+    """
+    texts = pages.select("doc_id", "page_number", "text", *[F.col("text").rlike(p).alias(n) for n, p in HEADINGS.items()])
+    lines = texts.select("doc_id", "page_number", *HEADINGS, F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).withColumn("line", F.btrim("line", F.lit(" \t\r")))
+    line = F.col("line")
+    sheet, code = F.when(~_is_note(line), _sheet_id(_sheet_raw(line))), _header_code(line)
+
+    def item(kind: str | Column, subject: Column) -> Column:
+        return F.struct(F.lit(kind).alias("code") if isinstance(kind, str) else kind.alias("code"), subject.cast("string").alias("subject"))
+
+    # a page's first line stands for its headings too
+    head = F.when((F.col("line_no") == 0) & (F.col("a") | F.col("b") | F.col("c") | F.col("d")), item("", F.lit(None)))
+    sheets = F.when(F.col("sheet").isNotNull(), item("NARR_DUP_SHEET_ID", F.col("sheet")))
+    section = _section_id(F.col("header"))
+    sections = F.when(F.col("header").isNotNull(), item(F.when(section.isNull(), "NARR_BAD_SECTION_ID").otherwise("NARR_DUP_SECTION_ID"), section))
+    items = lines.withColumns({"sheet": sheet, "header": code}).select("doc_id", "page_number", *HEADINGS, F.explode(F.array_compact(F.array(head, sheets, sections))).alias("item"))
+    by_page = items.groupBy("doc_id", "page_number", *HEADINGS, "item.code", "item.subject").agg(F.count(F.lit(1)).alias("n"))
+    document = Window.partitionBy("doc_id")
+    first = {n: F.min(F.when(F.col(n), F.col("page_number"))).over(document) for n in HEADINGS}
+    is_sheet, is_head = F.col("code") == "NARR_DUP_SHEET_ID", F.col("code") == ""
+    placed = by_page.withColumns({"drawings_page": F.coalesce(first["a"], first["b"]), "specs_page": F.coalesce(first["c"], first["d"])})
+    kept = placed.where(is_head | (F.col("doc_id").isNotNull() & (F.col("page_number") >= F.when(is_sheet, F.col("drawings_page")).otherwise(F.col("specs_page")))))
+    counted = kept.groupBy("doc_id", "code", "subject").agg(F.sum("n").alias("n"), F.max("drawings_page").alias("drawings_page"), F.max("specs_page").alias("specs_page"))
+
+    def has(kind: str) -> Column:
+        return F.max(F.col("code") == kind).over(document)
+
+    counted = counted.withColumns({"has_sheet": has("NARR_DUP_SHEET_ID"), "has_section": has("NARR_DUP_SECTION_ID")})
+    missing = F.array(
+        F.when(is_head & F.col("drawings_page").isNotNull() & ~F.col("has_sheet"), "NARR_NO_DRAWINGS_PARSED"),
+        F.when(is_head & F.col("specs_page").isNotNull() & ~F.col("has_section"), "NARR_NO_SPECS_PARSED"),
+        F.when((F.col("code") == "NARR_BAD_SECTION_ID") | (~is_head & (F.col("n") > 1)), F.col("code")),
+    )
+    issues = counted.select("doc_id", F.explode(F.array_compact(missing)).alias("code"), "subject", "n")
+    return issues.withColumn("n", F.when(F.col("code").startswith("NARR_NO_"), F.lit(0)).otherwise(F.col("n")).cast("bigint"))

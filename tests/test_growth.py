@@ -4,7 +4,7 @@ import random
 
 import pytest
 from conftest import DATA
-from folioframe.operators import lines, merge, ordering, tables
+from folioframe.operators import change_sets, lines, merge, ordering, tables
 from folioframe.plans import catalog
 
 
@@ -176,3 +176,13 @@ def test_merge_plan_takes_time_as_it_has_pages():
     began = time.thread_time()
     assert [r[3] for r in merge._merged(pages, "replace+insert", False)] == [f"{i:06d}" for i in range(40_000)]
     assert time.thread_time() - began < 10
+
+
+def test_issues_make_each_part_once(spark):
+    texts = ["Revisions to Drawings\n1. A-101 Plan\n2. A-101 Plan", "Revisions to Specifications\nSECTION 1 2 3\nSECTION 26 05 00\nSECTION 26 05 00", "nothing"]
+    rows = [(d, p + 1, texts[t]) for d, ts in enumerate([(0, 1), (2,), (1,), (0,)]) for p, t in enumerate(ts)] + [(9, 1, "Revisions to Drawings"), (9, 2, "Revisions to Specifications")]
+    df = change_sets.narrative_issues(spark.createDataFrame(rows, "doc_id int, page_number int, text string"))
+    assert plan(df).count("Scan ExistingRDD") == 1
+    dup, bad, section = ("NARR_DUP_SHEET_ID", "A-101", 2), ("NARR_BAD_SECTION_ID", None, 1), ("NARR_DUP_SECTION_ID", "26 05 00", 2)
+    want = [(0, *dup), (0, *bad), (0, *section), (2, *bad), (2, *section), (3, *dup), (9, "NARR_NO_DRAWINGS_PARSED", None, 0), (9, "NARR_NO_SPECS_PARSED", None, 0)]
+    assert sorted(map(tuple, df.collect()), key=repr) == sorted(want, key=repr)
