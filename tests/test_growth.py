@@ -21,7 +21,7 @@ def sheets(spark, ids, doc="a"):
     return spark.createDataFrame([(doc, i, x) for i, x in enumerate(ids)], "doc string, page_index int, id string")
 
 
-SHEETS = ["split_drawings_groups", "merge_replace_only", "drawings_row_order", "merge_id_map", "inventory_rows", "unmatched_issues", "issue_codes", "inventory_summary", "merge_unmatched", "discipline_classify", "discipline_rollup_counts", "corrected_inventory", "corrected_summary"]
+SHEETS = ["split_drawings_groups", "merge_replace_only", "drawings_row_order", "merge_id_map", "inventory_rows", "unmatched_issues", "issue_codes", "inventory_summary", "merge_unmatched", "discipline_classify", "discipline_rollup_counts", "corrected_inventory", "corrected_summary", "validate_near"]
 
 
 @pytest.mark.parametrize("name", SHEETS)
