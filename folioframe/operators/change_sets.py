@@ -180,39 +180,42 @@ def narrative_issues(pages: DataFrame) -> DataFrame:
     """``doc_id, code, subject, n``: parts without items, ids that repeat, and section ids that can't be read.
 
     One pass over the pages: sheet items, section headers and headings are
-    counted by page, whatever part it is in, and then those of pages before
-    the part left out.
+    found on all of them, and then those of pages before their part left out.
     """
-    texts = pages.select("doc_id", "page_number", "text", *[F.col("text").rlike(p).alias(n) for n, p in HEADINGS.items()])
-    lines = texts.select("doc_id", "page_number", *HEADINGS, F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).withColumn("line", F.btrim("line", F.lit(" \t\r")))
+    # numbers stand for kinds, and a page's first line for its headings, as the sum of their bits
+    sheets, sections, unread, headings = 1, 2, 3, 4
+    bits = {n: headings << i for i, n in enumerate(HEADINGS)}
+    told = sum((F.when(F.col("text").rlike(p), bits[n]).otherwise(0) for n, p in HEADINGS.items()), F.lit(0))
+    lines = page_lines(pages.withColumn("doc_id", F.struct("doc_id", told.alias("told")))).select("doc_id.doc_id", "doc_id.told", "page_number", "line_no", "line")
     line = F.col("line")
-    sheet, code = F.when(~_is_note(line), _sheet_id(_sheet_raw(line))), _header_code(line)
+    # of lines that don't begin like a header none is one
+    code = F.when(F.upper(F.substring(line, 1, 7)) == "SECTION", _header_code(line))
+    section = _section_id(F.col("header"))
 
-    def item(kind: str | Column, subject: Column) -> Column:
-        return F.struct(F.lit(kind).alias("code") if isinstance(kind, str) else kind.alias("code"), subject.cast("string").alias("subject"))
+    def item(kind: Column, subject: Column) -> Column:
+        return F.struct(kind.alias("kind"), subject.cast("string").alias("subject"))
 
-    # a page's first line stands for its headings too
-    head = F.when((F.col("line_no") == 0) & (F.col("a") | F.col("b") | F.col("c") | F.col("d")), item("", F.lit(None)))
-    sheets = F.when(F.col("sheet").isNotNull(), item("NARR_DUP_SHEET_ID", F.col("sheet")))
-    section = _section_id(F.col("header"))
-    sections = F.when(F.col("header").isNotNull(), item(F.when(section.isNull(), "NARR_BAD_SECTION_ID").otherwise("NARR_DUP_SECTION_ID"), section))
-    items = lines.withColumns({"sheet": sheet, "header": code}).select("doc_id", "page_number", *HEADINGS, F.explode(F.array_compact(F.array(head, sheets, sections))).alias("item"))
-    by_page = items.groupBy("doc_id", "page_number", *HEADINGS, "item.code", "item.subject").agg(F.count(F.lit(1)).alias("n"))
-    document = Window.partitionBy("doc_id")
-    first = {n: F.min(F.when(F.col(n), F.col("page_number"))).over(document) for n in HEADINGS}
-    is_sheet, is_head = F.col("code") == "NARR_DUP_SHEET_ID", F.col("code") == ""
-    placed = by_page.withColumns({"drawings_page": F.coalesce(first["a"], first["b"]), "specs_page": F.coalesce(first["c"], first["d"])})
-    kept = placed.where(is_head | (F.col("doc_id").isNotNull() & (F.col("page_number") >= F.when(is_sheet, F.col("drawings_page")).otherwise(F.col("specs_page")))))
-    counted = kept.groupBy("doc_id", "code", "subject").agg(F.sum("n").alias("n"), F.max("drawings_page").alias("drawings_page"), F.max("specs_page").alias("specs_page"))
-
-    def has(kind: str) -> Column:
-        return F.max(F.col("code") == kind).over(document)
-
-    counted = counted.withColumns({"has_sheet": has("NARR_DUP_SHEET_ID"), "has_section": has("NARR_DUP_SECTION_ID")})
-    missing = F.array(
-        F.when(is_head & F.col("drawings_page").isNotNull() & ~F.col("has_sheet"), "NARR_NO_DRAWINGS_PARSED"),
-        F.when(is_head & F.col("specs_page").isNotNull() & ~F.col("has_section"), "NARR_NO_SPECS_PARSED"),
-        F.when((F.col("code") == "NARR_BAD_SECTION_ID") | (~is_head & (F.col("n") > 1)), F.col("code")),
+    found = F.array(
+        F.when((F.col("line_no") == 0) & (F.col("told") > 0), item(F.col("told"), F.lit(None))),
+        F.when(F.col("sheet").isNotNull(), item(F.lit(sheets), F.col("sheet"))),
+        F.when(F.col("header").isNotNull(), item(F.when(section.isNull(), unread).otherwise(sections), section)),
+    )
+    items = lines.withColumns({"sheet": F.when(~_is_note(line), _sheet_id(_sheet_raw(line))), "header": code})
+    items = items.select("doc_id", "page_number", F.explode(F.array_compact(found)).alias("item")).select("doc_id", "page_number", "item.*")
+    kind, document = F.col("kind"), Window.partitionBy("doc_id")
+    first = {n: F.min(F.when((kind >= headings) & (kind.bitwiseAND(b) > 0), F.col("page_number"))).over(document) for n, b in bits.items()}
+    placed = items.withColumns({"drawings_page": F.coalesce(first["a"], first["b"]), "specs_page": F.coalesce(first["c"], first["d"])})
+    inside = F.col("page_number") >= F.when(kind == sheets, F.col("drawings_page")).otherwise(F.col("specs_page"))
+    kept = placed.where((kind >= headings) | (F.col("doc_id").isNotNull() & inside))
+    # headings of a document become one row, which tells its parts: 4 drawings, 8 specifications
+    parts = F.when(F.col("drawings_page").isNotNull(), 4).otherwise(0) + F.when(F.col("specs_page").isNotNull(), 8).otherwise(0)
+    counted = kept.select("doc_id", F.when(kind >= headings, parts).otherwise(kind).alias("kind"), "subject").groupBy("doc_id", "kind", "subject").agg(F.count(F.lit(1)).alias("n"))
+    counted = counted.withColumns({"has_sheet": F.max(kind == sheets).over(document), "has_section": F.max(kind == sections).over(document)})
+    codes = F.array(
+        F.when((kind >= headings) & (kind.bitwiseAND(4) > 0) & ~F.col("has_sheet"), "NARR_NO_DRAWINGS_PARSED"),
+        F.when((kind >= headings) & (kind.bitwiseAND(8) > 0) & ~F.col("has_section"), "NARR_NO_SPECS_PARSED"),
+        F.when((kind == sheets) & (F.col("n") > 1), "NARR_DUP_SHEET_ID"),
+        F.when((kind == sections) & (F.col("n") > 1), "NARR_DUP_SECTION_ID"),
+        F.when(kind == unread, "NARR_BAD_SECTION_ID"),
     )
-    issues = counted.select("doc_id", F.explode(F.array_compact(missing)).alias("code"), "subject", "n")
-    return issues.withColumn("n", F.when(F.col("code").startswith("NARR_NO_"), F.lit(0)).otherwise(F.col("n")).cast("bigint"))
+    return counted.select("doc_id", F.explode(F.array_compact(codes)).alias("code"), "subject", F.when(kind >= headings, 0).otherwise(F.col("n")).cast("bigint").alias("n"))
